@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_digests
 from .exact_dedup import exact_groups
+from .packing import pack
 from .sharding import shard_rows
 from .warc import warc_round_trip
 
@@ -18,6 +20,21 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def word_vocabulary() -> str:
+    """The place of the public vocabulary that the contracts name; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(_table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), word_vocabulary())
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_rows(_table(spark, sf_dir, "documents"), shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -27,7 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op6_sharding": op6_sharding, "op10_warc": op10_warc}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_sharding": op6_sharding, "op10_warc": op10_warc}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
