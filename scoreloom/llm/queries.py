@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_digests
 from .exact_dedup import exact_groups
+from .language import languages
 from .packing import pack
 from .sharding import shard_rows
+from .topk import exact_topk
+from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
@@ -20,6 +23,28 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def remainder(column: str, by: int):
+    """crc32 of a column as text, modulo by; null for null."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(by))
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return exact_topk(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = languages(docs, docs.where(remainder("doc_id", 4) != 2))
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    found = toxicity(docs, labels.where(remainder("doc_id", 5) != 0))
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
 def word_vocabulary() -> str:
     """The place of the public vocabulary that the contracts name; operators take any path."""
     import public_tokenizers
@@ -44,9 +69,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_sharding": op6_sharding, "op10_warc": op10_warc}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_topk": op2_topk, "op3_language": op3_language, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op10_warc": op10_warc}
 
 ORACLE_SQL = {
+    "op2_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op1_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY body)
