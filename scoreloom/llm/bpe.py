@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 
 from .common import pick, texts
 
-#: Words whose ids a task remembers; then it starts anew.
-CACHE_WORDS = 200_000
+#: Words and chunks whose ids a task remembers; then it starts anew.
+CACHE_WORDS = 600_000
 #: Characters of new words that merge together.
 ROUND_CHARS = 1 << 20
 #: Unicode white space.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
+#: What Python splits at and the tokenizer does not.
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
 NONE = np.iinfo(np.int32).max
 
 
@@ -79,12 +81,12 @@ class WordBpe:
         self.known: dict[str, bytes] = {}
         self.path, self.other = path, None
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text in order; a special token is one word, marked by a leading zero byte."""
+    def chunks(self, text: str) -> list:
+        """What white space separates, lower-cased. A special token is the tuple of its id; the tuple of a string is a word that isn't split further."""
         if self.special and "<|" in text:
-            out: list[str] = []
+            out: list = []
             for k, part in enumerate(self.special.split(text)):
-                out += [f"\0{part}"] if k % 2 else self._plain(part)
+                out += [(self.added[part],)] if k % 2 else self._plain(part)
             return out
         return self._plain(text)
 
@@ -94,10 +96,12 @@ class WordBpe:
         except UnicodeEncodeError:
             if _unassigned().search(text):
                 return self._newer(text)
-        text = self.gap.sub(" ", unicodedata.normalize("NFC", text))
-        return self.word.findall(text.replace("Σ", "σ").lower())  # each letter by itself: no final sigma
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each letter by itself: no final sigma
+        if any(x in text for x in NOT_SPACE):
+            return self.gap.split(text)
+        return text.split()
 
-    def _newer(self, text: str) -> list[str]:
+    def _newer(self, text: str) -> list[tuple[str]]:
         """The words where letters are newer than this Python: split with the library's own tables; the merges stay ours."""
         if self.other is None:
             from tokenizers import Tokenizer
@@ -105,22 +109,30 @@ class WordBpe:
             self.other = Tokenizer.from_file(self.path)
         byte = {x: b for b, x in enumerate(_byte_letters())}
         split = self.other.pre_tokenizer.pre_tokenize_str(self.other.normalizer.normalize_str(text))
-        return [bytes(byte[x] for x in word).decode("utf-8") for word, _ in split]
-
-    def learn(self, words: set[str]) -> None:
-        """Put the ids of these words into the cache."""
-        new = [w for w in words if w not in self.known]
-        for w in [w for w in new if w[0] == "\0" and w[1:] in self.added]:
-            self.known[w] = np.array([self.added[w[1:]]], self.kind).tobytes()
-        new = [w for w in new if w not in self.known]
+        return [(bytes(byte[x] for x in word).decode("utf-8"),) for word, _ in split]
+
+    def learn(self, chunks: set) -> None:
+        """Put the ids of these new chunks, and of the words in them, into the cache."""
+        known, parts = self.known, {}
+        for c in chunks:
+            if isinstance(c, str):
+                parts[c] = (c,) if c.isalpha() else self.word.findall(c)
+            elif isinstance(c[0], str):
+                parts[c] = c
+            else:
+                known[c] = np.array(c, self.kind).tobytes()
+        new = list({w for words in parts.values() for w in words if w not in known})
         some: list[bytes] = []
         start = held = 0
         for k, w in enumerate(new):
-            some.append(w.encode("utf-8", "surrogatepass"))
+            some.append(w.encode("utf-8"))
             held += len(some[-1])
             if held >= ROUND_CHARS or k == len(new) - 1:
-                self.known.update(zip(new[start : k + 1], self._merged(some)))
+                known.update(zip(new[start : k + 1], self._merged(some)))
                 some, start, held = [], k + 1, 0
+        for c, words in parts.items():
+            if c not in known:
+                known[c] = b"".join([known[w] for w in words])
 
     def _merged(self, words: list[bytes]) -> list[bytes]:
         length = np.fromiter(map(len, words), np.int64, len(words))
@@ -128,26 +140,24 @@ class WordBpe:
         symbols = self.inner[raw]
         ends = np.cumsum(length) - 1
         symbols[ends] = self.final[raw[ends]]
-        of = np.repeat(np.arange(len(words)), length)
+        of = np.repeat(np.arange(len(words), dtype=np.int32), length)
+        rank = np.full(len(symbols), NONE, np.int32)
+        self._rank(rank, symbols, of, np.arange(len(symbols) - 1))
         done_of, done = [], []
         while len(symbols):
-            key = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.full(len(symbols), NONE, np.int32)
-            rank[:-1] = np.where((self.keys[at] == key) & (of[:-1] == of[1:]), self.ranks[at], NONE)
             first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            length = np.diff(np.append(first, len(of)))
             least = np.minimum.reduceat(rank, first)
-            over = np.repeat(least == NONE, np.diff(np.append(first, len(of))))
-            if over.any():
+            low = np.repeat(least, length)
+            if (least == NONE).any():
+                over = low == NONE
                 done_of.append(of[over])
                 done.append(symbols[over])
                 live = ~over
-                symbols, of, rank = symbols[live], of[live], rank[live]
+                symbols, of, rank, low = symbols[live], of[live], rank[live], low[live]
                 if not len(symbols):
                     break
-                first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                least = least[least != NONE]
-            hit = rank == np.repeat(least, np.diff(np.append(first, len(of))))
+            hit = rank == low
             if (hit[1:] & hit[:-1]).any():  # a symbol that meets itself: every other place of a run, from the left
                 step = np.arange(len(hit))
                 begin = np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), step, 0))
@@ -156,25 +166,40 @@ class WordBpe:
             symbols[where] = self.made[rank[where]]
             keep = np.ones(len(symbols), bool)
             keep[where + 1] = False
-            symbols, of = symbols[keep], of[keep]
+            symbols, of, rank = symbols[keep], of[keep], rank[keep]
+            # Only pairs with a new symbol have a new rank.
+            where = where - np.arange(len(where))
+            before = where[where > 0] - 1
+            rank[where[where == len(rank) - 1]] = NONE
+            self._rank(rank, symbols, of, np.concatenate([where[where < len(rank) - 1], before]))
         of, ids = np.concatenate(done_of), np.concatenate(done)
         order = np.argsort(of, kind="stable")
         packed = ids[order].astype(self.kind).tobytes()
         stop = np.cumsum(np.bincount(of, minlength=len(words))) * self.kind.itemsize
         return [packed[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())]
 
-    def encode(self, batch: list[str]) -> Iterator[bytes]:
-        """The ids of each text, packed in self.kind."""
-        for text in batch:
-            words = self.words(text)
+    def _rank(self, rank: np.ndarray, symbols: np.ndarray, of: np.ndarray, at: np.ndarray) -> None:
+        """Look up the ranks of the pairs that begin at these places."""
+        key = symbols[at] * self.size + symbols[at + 1]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        rank[at] = np.where((self.keys[found] == key) & (of[at] == of[at + 1]), self.ranks[found], NONE)
+
+    def encode(self, batch: list[str], chars: int = 1 << 20) -> Iterator[bytes]:
+        """The ids of each text, packed in self.kind. The new words of many texts are merged together."""
+        at = 0
+        while at < len(batch):
+            some, held = at, 0
+            while at < len(batch) and held < chars:
+                held += len(batch[at])
+                at += 1
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
+            split = [self.chunks(x) for x in batch[some:at]]
             known = self.known
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                self.learn(set(words))
-                yield b"".join([known[w] for w in words])
+            if new := {c for chunks in split for c in chunks if c not in known}:
+                self.learn(new)
+            for chunks in split:
+                yield b"".join([known[c] for c in chunks])
 
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.kind)
@@ -189,29 +214,12 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def warmed(model: WordBpe, batch: list[str], chars: int = 1 << 20) -> Iterator[bytes]:
-    """encode(), with the new words of many texts merged together."""
-    at = 0
-    while at < len(batch):
-        some, held = at, 0
-        while at < len(batch) and held < chars:
-            held += len(batch[at])
-            at += 1
-        if len(model.known) > CACHE_WORDS:
-            model.known.clear()
-        split = [model.words(x) for x in batch[some:at]]
-        model.learn(set().union(*split))
-        known = model.known
-        for words in split:
-            yield b"".join([known[w] for w in words])
-
-
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
         for b in batches:
             counts, coded, decoded = [], [], []
-            for packed in warmed(model, texts(b.column("text"))):
+            for packed in model.encode(texts(b.column("text"))):
                 ids = model.ids(packed)
                 numbers = ids.tolist()
                 counts.append(len(numbers))
@@ -226,7 +234,7 @@ def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
         for b in batches:
-            ids = [model.ids(x).astype(np.int32) for x in warmed(model, texts(b.column("text")))]
+            ids = [model.ids(x).astype(np.int32) for x in model.encode(texts(b.column("text")))]
             yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import loaded, warmed
+from .bpe import loaded
 from .common import pick, small, stored, texts
 
 SEQUENCE = 2048
@@ -168,7 +168,7 @@ def _tokens(path: str, sequence: int, unit: int):
         seen: dict[int, int] = {}
         for b in batches:
             rows = []
-            for packed in warmed(model, texts(b.column("text"))):
+            for packed in model.encode(texts(b.column("text"))):
                 n = len(packed) // model.kind.itemsize + 1
                 whole, rest = divmod(n, sequence)
                 main, small_rest = rest // unit, rest % unit

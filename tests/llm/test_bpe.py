@@ -3,14 +3,14 @@ import random
 
 import pytest
 
-from scoreloom.llm.bpe import WordBpe, decode, encode, encode_digests, warmed
+from scoreloom.llm.bpe import WordBpe, decode, encode, encode_digests
 from scoreloom.llm.queries import word_vocabulary
 
 tokenizers = pytest.importorskip("tokenizers")
 PATH = word_vocabulary()
 HARD = [
     "", " ", "aaa aaaa aaaaa a", "It's we'll THEY'RE 'sx don't", "x<|endoftext|>y <|startoftext|>", "<|endoftext|", "ΑΣ ΟΔΟΣ Σ", "İstanbul ǅ ﬁ ß ẞ", "é 각 Å",
-    "\x00\x1c\x1d\x1e\x1f\x85\xa0 　 a​b﻿", "123 4५६ ²³ Ⅷ", "😀😃👩‍👩‍👧 🇩🇪", "z" * 5000, "ab" * 3000 + "!" * 700, "日本語 עברית العربية हिन्दी", "\r\n\t\x0b\x0c", "___--__  ...,,,", "\0sx", "'S 'T 'LL", "a\u0558b \u1c89 \ua7cb! \U0003d000x",
+    "\x00\x1c\x1d\x1e\x1f\x85\xa0 　 a​b﻿", "123 4५६ ²³ Ⅷ", "😀😃👩‍👩‍👧 🇩🇪", "z" * 5000, "ab" * 3000 + "!" * 700, "日本語 עברית العربية हिन्दी", "\r\n\t\x0b\x0c", "___--__  ...,,,", "\0sx", "\0<|ENDOFTEXT|> <|ENDOFTEXT|>", "a\x1cb \x1d c", "'S 'T 'LL", "a\u0558b \u1c89 \ua7cb! \U0003d000x",
 ]
 
 
@@ -22,7 +22,7 @@ def _random(seed: int) -> str:
 def test_matches_the_tokenizers_library():
     model, other = WordBpe(PATH), tokenizers.Tokenizer.from_file(PATH)
     batch = HARD + [_random(k) for k in range(300)]
-    for text, packed in zip(batch, warmed(model, batch, 2000)):
+    for text, packed in zip(batch, model.encode(batch, 2000)):
         ids = model.ids(packed)
         assert ids.tolist() == other.encode(text, add_special_tokens=False).ids, repr(text)
         assert model.decode(ids) == other.decode(ids.tolist(), skip_special_tokens=False)
@@ -41,7 +41,7 @@ def test_a_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr("scoreloom.llm.bpe.CACHE_WORDS", 3)
     model, whole = WordBpe(PATH), WordBpe(PATH)
     batch = [f"word{k} other{k}" for k in range(20)]
-    assert list(warmed(model, batch, 10)) == list(whole.encode(batch))
+    assert list(model.encode(batch, 10)) == list(whole.encode(batch))
 
 
 def test_rows(spark):
