@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_digests
 from .exact_dedup import exact_groups
+from .html_text import extract_text
 from .language import languages
+from .ngram_join import near_groups
 from .packing import pack
 from .sharding import shard_rows
 from .topk import exact_topk
@@ -65,11 +67,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_topk": op2_topk, "op3_language": op3_language, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op10_warc": op10_warc}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_topk": op2_topk, "op3_language": op3_language, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op8_html": op8_html, "op9_ngram_join": op9_ngram_join, "op10_warc": op10_warc}
 
 ORACLE_SQL = {
     "op2_topk": """
