@@ -1,10 +1,52 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents to packed training sequences. Every stage is written as Parquet and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from scoreloom.llm.common import stored
 from scoreloom.llm.exact_dedup import exact_dedup
+from scoreloom.llm.language import identified
+from scoreloom.llm.ngram_join import near_dedup
+from scoreloom.llm.packing import pack
+from scoreloom.llm.queries import remainder, word_vocabulary
+from scoreloom.llm.toxicity import clean
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic; learnt from the labelled ones as in op7."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return clean(docs, labels.where(remainder("doc_id", 5) != 0))
+
+
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; learnt as in op3. Those without a letter go."""
+    return identified(docs, docs.where(remainder("doc_id", 4) != 2))
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest id."""
+    return exact_dedup(docs)
+
+
+def distinct_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates, the one with the smallest id."""
+    return near_dedup(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in full sequences."""
+    return pack(docs, word_vocabulary())
+
 
-STAGES = []
+STAGES = [("toxicity", not_toxic), ("language", with_language), ("exact_dedup", distinct_texts), ("ngram_join", distinct_shingles), ("packing", packed)]
+#: Learnt scores and token ids can't be told in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the last stage; see scoreloom.llm.packing.pack() for their columns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
