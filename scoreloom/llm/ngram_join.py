@@ -28,6 +28,10 @@ LEAST = 80
 SEPARATOR = re.compile("[\x20\x09-\x0d]+")
 #: Shingles that a task holds before it hands them out by bucket, and that a bucket should hold.
 HELD, BUCKET = 1 << 21, 1 << 22
+#: A sketch is the parity of a set's shingles in each of 64 * SKETCH classes: sets differ in at least as many shingles as their
+#: sketches in bits, so a filter on it loses no link.
+SKETCH = 4
+BITS = [f"s{k}" for k in range(SKETCH)]
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -46,13 +50,18 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(begins.tolist(), ends[words - 1 :].tolist())), np.uint64, len(found) - words + 1))
 
 
+def _sketch(prints: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((prints % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64)
+
+
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                sets = [shingles(x, words).tobytes() for x in b.column("text").to_pylist()]
-                yield pa.record_batch([b.column("doc_id"), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "n", "print", "hashes"])
+                found = [shingles(x, words) for x in b.column("text").to_pylist()]
+                sets, bits = [x.tobytes() for x in found], np.array([_sketch(x) for x in found]).reshape(-1, SKETCH)
+                yield pa.record_batch([b.column("doc_id"), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary()), *map(pa.array, bits.T.copy())], ["doc_id", "n", "print", "hashes", *BITS])
 
     return run
 
@@ -169,9 +178,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _near(a: str, b: str, least: int) -> str:
-    """The filter on sizes and places of a shared shingle."""
+    """The filter on sizes, places of a shared shingle and sketches."""
+    apart = " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in BITS)
     need = f"{least} * ({a}.n + {b}.n)"
-    return f"100 * {a}.n >= {least} * {b}.n AND 100 * {b}.n >= {least} * {a}.n AND {100 + least} * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need}"
+    return f"100 * {a}.n >= {least} * {b}.n AND 100 * {b}.n >= {least} * {a}.n AND {100 + least} * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need} AND {100 + least} * ({apart}) <= {100 - least} * ({a}.n + {b}.n)"
 
 
 def _links(sets: DataFrame, least: int) -> DataFrame:
@@ -182,22 +192,27 @@ def _links(sets: DataFrame, least: int) -> DataFrame:
     bits = min(24, max(power_of_two(parts), power_of_two(total // BUCKET + 1)).bit_length() - 1)
     given = sets.select("sid", "hashes").mapInArrow(_hand_out(bits), "bucket long, owners binary, counts binary, low binary")
     back = given.groupBy("bucket").applyInArrow(_shared, "sid long, part binary").groupBy("sid").agg(F.collect_list("part").alias("parts"))
-    prefixes = back.join(sets.select("sid", "n"), "sid").select("sid", "n", "parts").mapInArrow(_prefixes(least), "sid long, n long, alone long, tokens array<long>")
-    grouped = stored(prefixes.withColumn("gid", F.min("sid").over(Window.partitionBy("n", "tokens"))), "prefixes")
-    posts = grouped.select("sid", "gid", "n", F.posexplode("tokens").alias("place", "token"), "alone").select("sid", "gid", "n", "token", (F.col("alone") + F.col("place")).alias("pos"))
+    sizes = sets.select("sid", "n", *BITS)
+    prefixes = back.join(sizes.select("sid", "n"), "sid").select("sid", "n", "parts").mapInArrow(_prefixes(least), "sid long, n long, alone long, tokens array<long>")
+    grouped = stored(prefixes.join(sizes.drop("n"), "sid").withColumn("gid", F.min("sid").over(Window.partitionBy("n", "tokens"))), "prefixes")
+    posts = grouped.select("sid", "gid", "n", F.posexplode("tokens").alias("place", "token"), "alone", *BITS).select("sid", "gid", "n", *BITS, "token", (F.col("alone") + F.col("place")).alias("pos"))
     # Members meet their leader; leaders meet the first of those of about their size that share a shingle.
     led = posts.where("sid = gid").withColumn("scale", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / least))))
-    heads = led.groupBy("token", "scale").agg(F.min_by(F.struct("sid", "n", "pos"), "sid").alias("h"), F.count("*").alias("m")).where("m > 1").select("token", "scale", "h.*")
+    heads = led.groupBy("token", "scale").agg(F.min_by(F.struct("sid", "n", "pos", *BITS), "sid").alias("h"), F.count("*").alias("m")).where("m > 1").select("token", "scale", "h.*")
     star = heads.alias("h").join(led.alias("x"), ["token", "scale"]).where("h.sid <> x.sid AND " + _near("h", "x", least)).selectExpr("h.sid AS a", "x.sid AS b")
     first = _verified(star.union(grouped.where("sid <> gid").select("gid", "sid")).distinct(), sets, least)
     known = components(first)
-    placed = posts.join(known, posts.sid == known.node, "left").select("sid", "n", "token", "pos", F.coalesce("label", "sid").alias("comp"))
+    placed = posts.join(known, posts.sid == known.node, "left").select("sid", "n", *BITS, "token", "pos", F.coalesce("label", "sid").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     placed = stored(placed.join(mixed, "token", "left_semi"), "cells")
-    cells = placed.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    cell_pairs = cells.alias("p").join(cells.alias("q"), "token").where(f"p.comp < q.comp AND 100 * p.high >= {least} * q.low AND 100 * q.high >= {least} * p.low").selectExpr("token", "p.comp AS ca", "q.comp AS cb")
-    one = placed.selectExpr("token", "comp AS ca", "struct(sid, n, pos) AS x")
-    two = placed.selectExpr("token", "comp AS cb", "struct(sid, n, pos) AS y")
+    ranges = [F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("m"), *(f(x).alias(f"{name}_{x}") for x in BITS for name, f in (("all", F.bit_and), ("any", F.bit_or)))]
+    cells = placed.groupBy("token", "comp").agg(*ranges)
+    # Bits that all of one cell have and none of the other bound the difference of any two members; the smaller cell is expanded first.
+    apart = " + ".join(f"bit_count((p.all_{x} & ~q.any_{x}) | (q.all_{x} & ~p.any_{x}))" for x in BITS)
+    fit = f"100 * p.high >= {least} * q.low AND 100 * q.high >= {least} * p.low AND {100 + least} * ({apart}) <= {100 - least} * (p.high + q.high)"
+    cell_pairs = cells.alias("p").join(cells.alias("q"), "token").where(f"(p.m < q.m OR p.m = q.m AND p.comp < q.comp) AND {fit}").selectExpr("token", "p.comp AS ca", "q.comp AS cb")
+    member = f"struct(sid, n, pos, {', '.join(BITS)})"
+    one, two = placed.selectExpr("token", "comp AS ca", f"{member} AS x"), placed.selectExpr("token", "comp AS cb", f"{member} AS y")
     rest = cell_pairs.join(one, ["token", "ca"]).join(two, ["token", "cb"]).where(_near("x", "y", least)).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
     return first.union(_verified(rest, sets, least))
 
@@ -213,12 +228,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_col:
     bare = pick(docs, doc_id=id_col, text=text_col)
     kind = dict(bare.dtypes)["doc_id"]
     # Row numbers are stored with the rows, so that they hold if a task is run again.
-    signed = stored(bare.mapInArrow(_sign(words), f"doc_id {kind}, n long, print binary, hashes binary").withColumn("row", F.monotonically_increasing_id()), "shingles")
+    signed = stored(bare.mapInArrow(_sign(words), f"doc_id {kind}, n long, print binary, hashes binary, {', '.join(f'{x} long' for x in BITS)}").withColumn("row", F.monotonically_increasing_id()), "shingles")
     full = signed.where("n > 0")
     classes = cut(full.groupBy("print").agg(F.min("row").alias("sid"), F.min("doc_id").alias("low"), F.count("*").alias("m")))
     again = cut(full.select("row", "print").join(classes.where("m > 1").select("print", "sid"), "print").where("row <> sid").select(F.col("row").alias("gone")))
     few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sets = full.join(F.broadcast(again) if few else again, full.row == again.gone, "left_anti").select(F.col("row").alias("sid"), "n", "hashes")
+    sets = full.join(F.broadcast(again) if few else again, full.row == again.gone, "left_anti").select(F.col("row").alias("sid"), "n", "hashes", *BITS)
     if not few:
         sets = stored(sets, "sets")
     labels = components(_links(sets, least))
