@@ -31,6 +31,9 @@ HELD, BUCKET = 1 << 21, 1 << 22
 #: A sketch is the parity of a set's shingles in each of 64 * SKETCH classes: sets differ in at least as many shingles as their
 #: sketches in bits, so a filter on it loses no link.
 SKETCH = 4
+#: Leaders that each shingle offers the others of about their size to meet first. They differ by shingle, so that a dense
+#: component is mostly joined up by then and few of its pairs remain.
+HEADS = 8
 BITS = [f"s{k}" for k in range(SKETCH)]
 
 
@@ -196,10 +199,11 @@ def _links(sets: DataFrame, least: int) -> DataFrame:
     prefixes = back.join(sizes.select("sid", "n"), "sid").select("sid", "n", "parts").mapInArrow(_prefixes(least), "sid long, n long, alone long, tokens array<long>")
     grouped = stored(prefixes.join(sizes.drop("n"), "sid").withColumn("gid", F.min("sid").over(Window.partitionBy("n", "tokens"))), "prefixes")
     posts = grouped.select("sid", "gid", "n", F.posexplode("tokens").alias("place", "token"), "alone", *BITS).select("sid", "gid", "n", *BITS, "token", (F.col("alone") + F.col("place")).alias("pos"))
-    # Members meet their leader; leaders meet the first of those of about their size that share a shingle.
+    # Members meet their leader; leaders meet a few of those of about their size that share a shingle.
     led = posts.where("sid = gid").withColumn("scale", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / least))))
-    heads = led.groupBy("token", "scale").agg(F.min_by(F.struct("sid", "n", "pos", *BITS), "sid").alias("h"), F.count("*").alias("m")).where("m > 1").select("token", "scale", "h.*")
-    star = heads.alias("h").join(led.alias("x"), ["token", "scale"]).where("h.sid <> x.sid AND " + _near("h", "x", least)).selectExpr("h.sid AS a", "x.sid AS b")
+    drawn = [F.min_by(F.struct("sid", "n", "pos", *BITS), F.xxhash64("token", "sid", F.lit(k))).alias(f"h{k}") for k in range(HEADS)]
+    heads = led.groupBy("token", "scale").agg(*drawn, F.count("*").alias("m")).where("m > 1").selectExpr("token", "scale", f"inline(array_distinct(array({', '.join(f'h{k}' for k in range(HEADS))})))")
+    star = heads.alias("h").join(led.alias("x"), ["token", "scale"]).where("h.sid <> x.sid AND " + _near("h", "x", least)).select(F.least("h.sid", "x.sid").alias("a"), F.greatest("h.sid", "x.sid").alias("b"))
     first = _verified(star.union(grouped.where("sid <> gid").select("gid", "sid")).distinct(), sets, least)
     known = components(first)
     placed = posts.join(known, posts.sid == known.node, "left").select("sid", "n", *BITS, "token", "pos", F.coalesce("label", "sid").alias("comp"))
