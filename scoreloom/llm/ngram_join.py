@@ -167,17 +167,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node that is reachable, for every node of the edges (a, b). Labels spread and then jump, so few rounds are needed."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    """node, label: the least node that is reachable, for every node of the edges (a, b).
+
+    Each round hooks nodes to their least neighbour, jumps to the roots and puts these for the ends of the edges. Edges within one label go and
+    the rest are made distinct, so a dense component shrinks to few edges at once.
+    """
+    left = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
-        far = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        after = cut(spread.join(far, spread["to"] == far["at"], "left").select("node", F.least("to", F.coalesce("far", "to")).alias("label"), "was"))
-        if not after.where("label <> was").limit(1).count():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+        ends = left.select(F.col("a").alias("node"), F.col("a").alias("to")).union(left.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        moved = cut(ends.groupBy("node").agg(F.min("to").alias("label")))
+        while True:  # each jump doubles the way that a label has come, until all have met their root
+            nexts = moved.select(F.col("node").alias("at"), F.col("label").alias("next"))
+            jumped = cut(moved.join(nexts, moved["label"] == nexts["at"]).select("node", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("moves")))
+            moved = jumped.select("node", "label")
+            if not jumped.where("moves").limit(1).count():
+                break
+        if labels is None:
+            labels = moved
+        else:
+            on = moved.select(F.col("node").alias("at"), F.col("label").alias("next"))
+            labels = cut(labels.join(on, labels["label"] == on["at"], "left").select("node", F.coalesce("next", "label").alias("label")))
+        one, two = moved.select(F.col("node").alias("a"), F.col("label").alias("x")), moved.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        left = cut(left.join(one, "a").join(two, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if not left.limit(1).count():
+            return labels
 
 
 def _near(a: str, b: str, least: int) -> str:
