@@ -21,6 +21,25 @@ def test_rendering(html, text):
     assert rendered(html) == text
 
 
+DRAWN = [
+    ("a <math><semantics><mrow><mi>x</mi> <mo>=</mo>\n<mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>tex</annotation></semantics></math> b", "a x=1/2 b"),
+    ("<math display=block><mtable><mtr><mtd><mn>10</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd><mtd><mn>4</mn></mtd></mtr></mtable></math>z", "10  2\n3   4\nz"),
+    ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs>stray<g><text>one <tspan>two</tspan></text><path/><text x=1>three</text></g></svg>four", "one two three four"),
+    ("<svg><text display=none>no</text><text><tspan x=0>a</tspan><tspan x=0>b</tspan></text><title/><text><![CDATA[1 < 2]]></text></svg>", "a b 1 < 2"),
+    ("<svg><switch><foreignObject><div>html</div></foreignObject><text>fallback</text></switch></svg>", "html"),
+    ("<svg><path><p>out of an open drawing", "out of an open drawing"), ("<math><mi>x<p>out", "x\n\nout"),
+    ("<select><option>a<option selected>b<option>c</select>", "b"), ("in <select><option disabled>a<option>b</select>now", "in b now"),
+    ("<select><option hidden selected>pick<option>b</select>", "pick"), ("<select><optgroup label=g disabled><option>a<optgroup label=h><option label=L>b</select>", "L"),
+    ("<select multiple><optgroup label=g><option>a<option hidden>b<optgroup label=h><option>c</select>z", "g\na\nh\nc\nz"),
+    ("<select size=3><option>a<option>b</select>", "a\nb"), ("<select><option>a<input>shown", "a shown"), ("<select hidden><option>a</select>z", "z"),
+]
+
+
+@pytest.mark.parametrize("html,text", DRAWN)
+def test_formulas_drawings_and_selects(html, text):
+    assert rendered(html) == text
+
+
 def test_depth_and_length():
     assert rendered("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert len(rendered("<p>word</p>" * 20000)) == 4 * 20000 + 2 * 19999
