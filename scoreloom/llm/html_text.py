@@ -10,6 +10,7 @@ repeats by <use> is not followed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -53,8 +54,9 @@ ENDS = {
 }
 CLOSE_P = (PLAIN | SPACED) - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "option"}
 IN_HEAD = frozenset("base link meta title style script template noscript head html".split())
-#: Elements deeper than this become children of the element at this depth; their text stays.
-DEPTH = 150
+#: Content of elements deeper than this goes to the element at this depth, but for what is hidden. Drawings, formulas and selects may
+#: go deeper by so much.
+DEPTH, FURTHER = 150, 20
 SPACE = re.compile("[ \t\n\f\r]+")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 GAP = "  "
@@ -62,12 +64,14 @@ ROWS, CELLS = ("tr", "mtr", "mlabeledtr"), ("td", "th", "mtd")
 
 
 class Node:
-    #: off: not painted where it stands; apart: stands apart from the text around it.
-    __slots__ = ("tag", "attrs", "children", "off", "apart")
+    #: off: not painted where it stands; apart: stands apart from the text around it; level: its depth in the tree; flat: too deep
+    #: to hold its content, which goes to the element above.
+    __slots__ = ("tag", "attrs", "children", "off", "apart", "level", "flat")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
-        self.off = self.apart = False
+        self.off = self.apart = self.flat = False
+        self.level = 0
 
 
 class _Builder(HTMLParser):
@@ -82,15 +86,18 @@ class _Builder(HTMLParser):
         return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def _cut(self, place: int) -> None:
-        for node in self.open[place:]:
+        for node in reversed(self.open[place:]):
             self.at[node.tag].pop()
+            if node.flat and (node.apart or node.tag in PLAIN or node.tag in SPACED):  # the text after it stands apart from its own
+                node.children.append(" " if node.apart else Node("p" if node.tag in SPACED else "div", {}))
         del self.open[place:]
 
     def _end(self, tags: set[str], stop: set[str] | frozenset) -> None:
         """Close the outermost of these tags above the nearest stop."""
         if any(self.at.get(t) for t in tags):
             last = self._last(stop)
-            found = min((k for t in tags for k in self.at.get(t, ()) if k > last), default=0)
+            places = [x for t in tags if (x := self.at.get(t)) and x[-1] > last]
+            found = min((x[bisect_right(x, last)] for x in places), default=0)
             if found:
                 self._cut(found)
 
@@ -117,10 +124,18 @@ class _Builder(HTMLParser):
             node.apart = tag == "text" or tag == "tspan" and ("x" in node.attrs or "y" in node.attrs)
         elif kind:
             node.off = tag in UNSET
-        self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH:
-            self.at[tag].append(len(self.open))
-            self.open.append(node)
+        above = self.open[-1]
+        above.children.append(node)
+        if tag in VOID:
+            return
+        node.level = above.level + 1
+        if node.level >= (DEPTH + FURTHER if kind or tag in ("svg", "math", "select", "optgroup", "option") else DEPTH):
+            flat = Node(tag, {})
+            flat.flat, flat.apart, flat.level = True, node.apart, above.level
+            flat.children = above.children if visible(node) else []
+            node = flat
+        self.at[tag].append(len(self.open))
+        self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         # HTML ignores the slash, but for elements that have no content anyway; drawings and formulas don't.

@@ -45,6 +45,26 @@ def test_depth_and_length():
     assert len(rendered("<p>word</p>" * 20000)) == 4 * 20000 + 2 * 19999
 
 
+DEEP = [
+    ("a<script>no</script><style>no</style><div hidden>no<b>no</b></div><p style='display:none'>no<i>no</i></p><b>b</b>", "ab"),
+    ("<p>a</p>b<div>c</div>d", "a\n\nb\nc\nd"), ("a<select><option>b<option selected>c</select>d", "a c d"),
+    ("<svg><title>no</title><g><text>a</text><text>b</text></g></svg>c <math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>", "a b c 1/2"),
+]
+
+
+@pytest.mark.parametrize("html,text", DEEP)
+def test_deep_content(html, text):
+    assert rendered(html) == rendered("<div>" * 400 + html + "</div>" * 400) == text
+
+
+def test_end_tags_of_deep_elements():
+    assert rendered("x<div hidden>" + "<div>" * 400 + "no" + "</div>" * 400 + "no</div>y") == "xy"
+    assert rendered("<svg>" + "<g>" * 400 + "<text>a</text><title>no</title>" + "</g>" * 400 + "<text>b</text></svg>c") == "a b c"
+    assert rendered("<ul><li>" * 400 + "a").endswith("a")
+    assert rendered("<table><tr><td>" * 400 + "a") == "a"
+    assert rendered("<svg><foreignobject><select><option>" * 400 + "a") is not None
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a", "t"), (1, None, "t"), (None, "<li>b", "t")], "page_id long, html string, text string")
     assert sorted((tuple(r) for r in extract_text(pages).collect()), key=str) == sorted([(1, "a", 1), (1, "", 0), (None, "b", 1)], key=str)
