@@ -87,8 +87,6 @@ class Model:
         """The row of the table for a letter after up to two others."""
         at = self.rows.get(gram)
         if at is None:
-            if len(self.rows) > 400_000:
-                self.rows.clear()
             zero = np.zeros(len(self.langs))
             p = (self.counts.get(gram[-1], zero) + 0.5) / (self.total + 0.5 * self.letters + 1000)
             for back in range(2, len(gram) + 1):

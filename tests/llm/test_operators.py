@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 
 from scoreloom.llm.exact_dedup import exact_dedup, exact_groups
-from scoreloom.llm.language import languages
+from scoreloom.llm.language import Model, languages
 from scoreloom.llm.packing import pack
 from scoreloom.llm.queries import word_vocabulary
 from scoreloom.llm.sharding import shard_rows
@@ -119,3 +119,17 @@ def test_learnt_operators_keep_every_row(spark):
     assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored.values())
     assert all(scored[i].predicted == i % 2 for i in range(40))
     assert {r.score for r in toxicity(docs, marks.limit(0)).collect()} == {0.0}
+
+
+def test_likelihoods_do_not_depend_on_the_batch():
+    """Over 400,000 n-grams in one call."""
+    rng = random.Random(3)
+    counts = {"ab": np.array([5.0, 1.0]), "a": np.array([9.0, 2.0]), "b": np.array([3.0, 7.0]), "\x03": np.array([4.0, 4.0])}
+    words = ["abab", "ba", *("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(40)) for _ in range(11_000)), "bbbb", "aab"]
+    together = Model(["x", "y"], counts)
+    together.learn(words)
+    assert len(together.rows) > 400_000
+    for w in words[:50] + words[9700:9900] + words[-50:]:
+        alone = Model(["x", "y"], counts)
+        alone.learn([w])
+        assert np.allclose(together.likelihood[together.scored[w]], alone.likelihood[0])
