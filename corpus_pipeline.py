@@ -20,7 +20,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; learnt as in op3. Those without a letter go."""
+    """Documents with a letter, however well the languages learnt as in op3 fit."""
     return identified(docs, docs.where(remainder("doc_id", 4) != 2))
 
 

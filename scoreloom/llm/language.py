@@ -241,12 +241,17 @@ def _plain(model: Model) -> tuple:
 
 
 def identified(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that have a language, with all their columns: those predicted `und` go. Nothing of the text is shuffled."""
+    """The rows of docs whose text has a letter, with all their columns, however well the languages fit; also if none is learnt.
+
+    Those without a letter are the ones that languages() predicts `und` once something is learnt. Nothing of the text is shuffled.
+    """
     handed, at = docs.sparkSession.sparkContext.broadcast(_plain(learnt(train.select("doc_id", "text", "lang")))), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*handed.value)
         for b in batches:
-            yield b.filter(pa.array([x != UNKNOWN for x in _predictions(model, texts(b.column(at)))[0]], pa.bool_()))
+            found = texts(b.column(at))
+            keep = [x != UNKNOWN for x in _predictions(model, found)[0]] if model.langs else [bool(LETTERS.search(x.lower())) for x in found]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

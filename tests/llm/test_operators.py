@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 
 from scoreloom.llm.exact_dedup import exact_dedup, exact_groups
-from scoreloom.llm.language import Model, languages
+from scoreloom.llm.language import Model, identified, languages
 from scoreloom.llm.packing import pack
 from scoreloom.llm.queries import word_vocabulary
 from scoreloom.llm.sharding import shard_rows
@@ -133,3 +133,10 @@ def test_likelihoods_do_not_depend_on_the_batch():
         alone = Model(["x", "y"], counts)
         alone.learn([w])
         assert np.allclose(together.likelihood[together.scored[w]], alone.likelihood[0])
+
+
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "the cat", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "Àß", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in identified(docs, docs).collect()) == [1, 5]
+    known = docs.unionByName(spark.createDataFrame([(6, "the dog", "a")], docs.schema))
+    assert sorted(r.doc_id for r in identified(known, known).collect()) == [1, 5, 6]
