@@ -1,4 +1,4 @@
-"""Evaluation of scores: threshold table, its summary, calibration and confusion matrix."""
+"""Evaluation of scores: threshold table, its summary and confusion matrix."""
 
 from __future__ import annotations
 
