@@ -1,146 +1,152 @@
 """Jaccard join on word shingles by grouped prefixes.
 
-Equal shingle sets are one set from the start. Shingles are ordered by how many sets hold them, rarest first; linked sets
-must share a shingle among the first of each (the prefix), and shingles of one set only can't be
-shared, so the prefix keeps the others. Sets of equal size and equal prefix form one group. Group
-leaders are filtered and compared first; then every prefix shingle is cut into cells of one
-component each, pairs of cells are filtered, and the members of what is left are expanded and verified.
-No pair of sets that might link is left out unless the two are known to be in one component.
+All sets order their shingles alike: by the count that a bounded sketch gives them, rarest first. Linked sets must share a shingle
+among the first of each (the prefix), whatever the order, so the sketch decides cost only. Equal sets are one set from the start.
+Prefix shingles that one set holds are dropped. In a few turns every shingle's holders meet some leaders, which joins dense
+components up. Then sets of one size, one component and identical prefixes are one group; pairs of
+groups of different components are filtered by size, place and parity sketches, made distinct, expanded into members, filtered and
+verified. No pair that might link is left out unless both are known to be in one component.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, pick, power_of_two, stored
+from .common import BROADCAST_ROWS, cut, discard, pick, stored
+from .shingling import WORDS, shingle_sets
 
-WORDS = 5
 #: Similarity from which sets link, in hundredths.
 LEAST = 80
-SEPARATOR = re.compile("[\x20\x09-\x0d]+")
-#: Shingles that a task holds before it hands them out by bucket, and that a bucket should hold.
-HELD, BUCKET = 1 << 21, 1 << 22
-#: A sketch is the parity of a set's shingles in each of 64 * SKETCH classes: sets differ in at least as many shingles as their
-#: sketches in bits, so a filter on it loses no link.
-SKETCH = 4
-#: Leaders that each shingle offers the others of about their size to meet first. They differ by shingle, so that a dense
-#: component is mostly joined up by then and few of its pairs remain.
-HEADS = 8
-BITS = [f"s{k}" for k in range(SKETCH)]
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The ascending distinct 64-bit hashes of the shingles of a text."""
-    lower = pc.ascii_lower(pa.scalar(text or "")).as_py()
-    found = [w.encode("utf-8", "surrogatepass") for w in SEPARATOR.split(lower) if w]
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(found) < words:
-        # Shorter sequences are kept apart from shingles by their own seed.
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found))], np.uint64)
-    whole = b" ".join(found)
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    begins = np.append(0, ends[:-1] + 1)
-    view = memoryview(whole)
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(begins.tolist(), ends[words - 1 :].tolist())), np.uint64, len(found) - words + 1))
-
-
-def _sketch(prints: np.ndarray) -> np.ndarray:
-    return np.packbits(np.bincount((prints % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64)
-
-
-def _sign(words: int):
+#: The count sketch has 2 ** COUNTERS counters whatever the input; it travels in slices of 2 ** SLICE.
+COUNTERS, SLICE = 22, 16
+#: Shingles counted this many times, and so many times the mean, are spread over SPREAD partitions.
+HEAVY, SPREAD = 1024, 32
+#: A parity sketch tells which of 64 * PARITY classes hold an odd number of a set's shingles: sets differ in at least as many
+#: shingles as their sketches in bits, so a filter on it loses no link.
+PARITY = 4
+BITS = [f"s{k}" for k in range(PARITY)]
+#: Leaders that each shingle gives its holders of about one size to meet, in each of at most so many turns.
+HEADS, TURNS = 4, 4
+#: Rows that a task gives out at once.
+OUT = 1 << 16
+
+
+def _batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            b = batch.slice(at, 256)
+            yield b, list(shingle_sets(b.column("text"), words))
+
+
+def _counted(words: int):
+    """Texts to the counters of the shingles' lowest bits, in slices: places (none: all) and counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                found = [shingles(x, words) for x in b.column("text").to_pylist()]
-                sets, bits = [x.tobytes() for x in found], np.array([_sketch(x) for x in found]).reshape(-1, SKETCH)
-                yield pa.record_batch([b.column("doc_id"), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary()), *map(pa.array, bits.T.copy())], ["doc_id", "n", "print", "hashes", *BITS])
+        table, held, size = np.zeros(1 << COUNTERS, np.int64), [], 0
+        for _, sets in _batches(batches, words):
+            held += sets
+            size += sum(map(len, sets))
+            if size > 1 << 20:
+                np.add(table, np.bincount((np.concatenate(held) & np.uint64(len(table) - 1)).view(np.int64), minlength=len(table)), out=table)
+                held, size = [], 0
+        if size:
+            table += np.bincount((np.concatenate(held) & np.uint64(len(table) - 1)).view(np.int64), minlength=len(table))
+        for k, part in enumerate(table.reshape(-1, 1 << SLICE)):
+            places = np.flatnonzero(part)
+            if len(places):
+                sparse = len(places) < len(part) // 2
+                yield pa.record_batch([pa.array([k]), pa.array([places.astype("<u2").tobytes() if sparse else b""]), pa.array([(part[places] if sparse else part).astype("<u4").tobytes()])], ["slice", "places", "counts"])
 
     return run
 
 
-def _hand_out(bits: int):
-    """Sets to rows of one bucket of shingles: the sets, how many of its shingles each holds, and these, less the bucket's bits."""
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the slices of a partition, as quarter octaves: floor(4 * log2(1 + count)), one byte a counter."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, places, counts in zip(*(b.column(x).to_pylist() for x in ("slice", "places", "counts"))):
+            table = sums.setdefault(k, np.zeros(1 << SLICE, np.int64))
+            where = np.frombuffer(places, "<u2") if places else slice(None)
+            table[where] += np.frombuffer(counts, "<u4")
+    for k, table in sums.items():
+        yield pa.record_batch([pa.array([k]), pa.array([np.floor(4 * np.log2(1.0 + table)).astype(np.uint8).tobytes()])], ["slice", "levels"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners: list[int] = []
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            prints = np.concatenate(held)
-            owner = np.repeat(np.array(owners, np.int64), [len(x) for x in held])
-            bucket = (prints >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(prints), np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, owner = bucket[order], owner[order]
-            low = ((prints[order] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            names, first = np.unique(bucket, return_index=True)
-            last = np.append(first[1:], len(bucket))
-            rows = []
-            for a, z in zip(first.tolist(), last.tolist()):
-                starts = np.flatnonzero(np.append(True, owner[a + 1 : z] != owner[a : z - 1]))
-                rows.append((owner[a:z][starts].astype("<i8").tobytes(), np.diff(np.append(starts, z - a)).astype("<u4").tobytes(), low[a:z].tobytes()))
-            return pa.record_batch([pa.array(names), *(pa.array(x, pa.binary()) for x in zip(*rows))], ["bucket", "owners", "counts", "low"])
 
-        for b in batches:
-            for sid, raw in zip(b.column("sid").to_pylist(), b.column("hashes")):
-                owners.append(sid)
-                held.append(np.frombuffer(raw.as_buffer(), np.uint64))
-                size += len(held[-1])
-                if size >= HELD:
-                    yield flush()
-                    owners, held, size = [], [], 0
-        if held:
-            yield flush()
+def _parity(prints: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((prints >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1).view(np.int64)
+
+
+def _signed(words: int, least: int, levels, heavy: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = levels.value
+        for b, sets in _batches(batches, words):
+            tokens, light = [], []
+            for x in sets:
+                level = own[(x & np.uint64(len(own) - 1)).view(np.int64)]
+                order = np.argsort(level, kind="stable")[: len(x) - -(-least * len(x) // 100) + 1 if len(x) else 0]
+                tokens.append(x[order].tobytes())
+                light.append(int(np.count_nonzero(level[order] < heavy)))
+            bits = np.array([_parity(x) for x in sets]).reshape(-1, PARITY)
+            yield pa.record_batch([b.column("doc_id"), b.column("mark"), pa.array([len(x) for x in sets], pa.int32()), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(light, pa.int32()), pa.array(tokens, pa.binary()), *map(pa.array, bits.T.copy())], ["doc_id", "mark", "n", "print", "light", "tokens", *BITS])
 
     return run
 
 
-def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One row for each set in the bucket that holds a shingle of the bucket which occurs again: those shingles and their counts."""
-    join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
-    low = join("low", "<u4")
-    owner = np.repeat(join("owners", "<i8"), join("counts", "<u4"))
-    order = np.argsort(low, kind="stable")
-    low, owner = low[order], owner[order]
-    first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-    n = np.diff(np.append(first, len(low)))
-    often = np.repeat(n, n)
-    more = often > 1
-    low, owner, often = low[more], owner[more], often[more]
-    order = np.argsort(owner, kind="stable")
-    low, owner, often = low[order], owner[order], np.minimum(often[order], 0xFFFFFFFF)
-    starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(owner))
-    pairs = np.empty(len(owner), np.dtype([("n", "<u4"), ("token", "<i8")]))
-    pairs["n"], pairs["token"] = often, (np.int64(key[0].as_py()) << 32) | low.astype(np.int64)
-    return pa.table({"sid": pa.array(owner[starts], pa.int64()), "part": pa.array([pairs[a:z].tobytes() for a, z in zip(starts.tolist(), ends.tolist())], pa.binary())})
-
-
-def _prefixes(least: int):
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets to the shingles of their prefixes: token, sid, n, pos (the place in the order), salt (over 0 for heavy ones)."""
+    for batch in batches:
+        counts = np.array([len(x) // 8 for x in batch.column("tokens").to_pylist()], np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, at + int(np.searchsorted(np.cumsum(counts[at:]), OUT, "right")))
+            n = counts[at:to]
+            b = batch.slice(at, to - at)
+            token = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.int64)
+            sid, size, light = (np.repeat(b.column(x).to_numpy(zero_copy_only=False), n) for x in ("sid", "n", "light"))
+            pos = (np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            salt = np.where(pos < light, 0, 1 + sid % SPREAD).astype(np.int32)
+            yield pa.record_batch(list(map(pa.array, (token, sid, size, pos, salt))), ["token", "sid", "n", "pos", "salt"])
+            at = to
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of token, those whose token occurs again, and all heavy ones."""
+    rest, met = None, False
+    for b in batches:
+        if rest is not None:
+            b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+        if not b.num_rows:
+            continue
+        token = b.column("token").to_numpy()
+        like = token[1:] == token[:-1]
+        keep = b.column("salt").to_numpy() > 0
+        keep[1:] |= like
+        keep[:-1] |= like
+        keep[0] |= met
+        rest, met = b.slice(b.num_rows - 1), bool(keep[-1])
+        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1])).select(["token", "sid", "n", "pos"])
+    if rest is not None and met:
+        yield rest.select(["token", "sid", "n", "pos"])
+
+
+def _hashed(words: int, wanted):
+    """The sets of texts by print; wanted: the first halves of the prints that matter, or None for all. Copies in a task go out once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([("n", "<u4"), ("token", "<i8")])
-        for b in batches:
-            rows = []
-            for sid, n, parts in zip(*(b.column(x).to_pylist() for x in ("sid", "n", "parts"))):
-                found = np.frombuffer(b"".join(parts), kind)
-                alone = n - len(found)
-                length = n - -(-least * n // 100) + 1 - alone
-                if length > 0:
-                    found = np.sort(found, order=("n", "token"))
-                    rows.append((sid, n, alone, found["token"][:length]))
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], ["sid", "n", "alone", "tokens"])
+        own = wanted.value if wanted else None
+        for _, sets in _batches(batches, words):
+            rows = {xxhash.xxh3_128_digest(x): x for x in sets if len(x)}
+            if own is not None:
+                half = np.array([int.from_bytes(p[:8], "little") for p in rows], np.uint64)
+                hit = own[np.minimum(np.searchsorted(own, half), len(own) - 1)] == half if len(own) else np.zeros(len(half), bool)
+                rows = {p: x for (p, x), h in zip(rows.items(), hit.tolist()) if h}
+            yield pa.record_batch([pa.array(list(rows), pa.binary()), pa.array([x.tobytes() for x in rows.values()], pa.binary())], ["of", "hashes"])
 
     return run
 
@@ -159,13 +165,6 @@ def _linked(least: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """a, b: the pairs whose sets link."""
-    one = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("other"))
-    two = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("one"))
-    return cut(pairs.join(one, "b").join(two, "a").select("a", "b", "one", "other").mapInArrow(_linked(least), "a long, b long"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that is reachable, for every node of the edges (a, b).
 
@@ -194,45 +193,142 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _near(a: str, b: str, least: int) -> str:
-    """The filter on sizes, places of a shared shingle and sketches."""
-    apart = " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in BITS)
-    need = f"{least} * ({a}.n + {b}.n)"
-    return f"100 * {a}.n >= {least} * {b}.n AND 100 * {b}.n >= {least} * {a}.n AND {100 + least} * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need} AND {100 + least} * ({apart}) <= {100 - least} * ({a}.n + {b}.n)"
-
-
-def _links(sets: DataFrame, least: int) -> DataFrame:
-    """a, b: enough links between the sets (sid, n, hashes) to connect all that are connected."""
-    spark = sets.sparkSession
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(24, max(power_of_two(parts), power_of_two(total // BUCKET + 1)).bit_length() - 1)
-    given = sets.select("sid", "hashes").mapInArrow(_hand_out(bits), "bucket long, owners binary, counts binary, low binary")
-    back = given.groupBy("bucket").applyInArrow(_shared, "sid long, part binary").groupBy("sid").agg(F.collect_list("part").alias("parts"))
-    sizes = sets.select("sid", "n", *BITS)
-    prefixes = back.join(sizes.select("sid", "n"), "sid").select("sid", "n", "parts").mapInArrow(_prefixes(least), "sid long, n long, alone long, tokens array<long>")
-    grouped = stored(prefixes.join(sizes.drop("n"), "sid").withColumn("gid", F.min("sid").over(Window.partitionBy("n", "tokens"))), "prefixes")
-    posts = grouped.select("sid", "gid", "n", F.posexplode("tokens").alias("place", "token"), "alone", *BITS).select("sid", "gid", "n", *BITS, "token", (F.col("alone") + F.col("place")).alias("pos"))
-    # Members meet their leader; leaders meet a few of those of about their size that share a shingle.
-    led = posts.where("sid = gid").withColumn("scale", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / least))))
-    drawn = [F.min_by(F.struct("sid", "n", "pos", *BITS), F.xxhash64("token", "sid", F.lit(k))).alias(f"h{k}") for k in range(HEADS)]
-    heads = led.groupBy("token", "scale").agg(*drawn, F.count("*").alias("m")).where("m > 1").selectExpr("token", "scale", f"inline(array_distinct(array({', '.join(f'h{k}' for k in range(HEADS))})))")
-    star = heads.alias("h").join(led.alias("x"), ["token", "scale"]).where("h.sid <> x.sid AND " + _near("h", "x", least)).select(F.least("h.sid", "x.sid").alias("a"), F.greatest("h.sid", "x.sid").alias("b"))
-    first = _verified(star.union(grouped.where("sid <> gid").select("gid", "sid")).distinct(), sets, least)
-    known = components(first)
-    placed = posts.join(known, posts.sid == known.node, "left").select("sid", "n", *BITS, "token", "pos", F.coalesce("label", "sid").alias("comp"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    placed = stored(placed.join(mixed, "token", "left_semi"), "cells")
-    ranges = [F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("m"), *(f(x).alias(f"{name}_{x}") for x in BITS for name, f in (("all", F.bit_and), ("any", F.bit_or)))]
-    cells = placed.groupBy("token", "comp").agg(*ranges)
-    # Bits that all of one cell have and none of the other bound the difference of any two members; the smaller cell is expanded first.
-    apart = " + ".join(f"bit_count((p.all_{x} & ~q.any_{x}) | (q.all_{x} & ~p.any_{x}))" for x in BITS)
-    fit = f"100 * p.high >= {least} * q.low AND 100 * q.high >= {least} * p.low AND {100 + least} * ({apart}) <= {100 - least} * (p.high + q.high)"
-    cell_pairs = cells.alias("p").join(cells.alias("q"), "token").where(f"(p.m < q.m OR p.m = q.m AND p.comp < q.comp) AND {fit}").selectExpr("token", "p.comp AS ca", "q.comp AS cb")
-    member = f"struct(sid, n, pos, {', '.join(BITS)})"
-    one, two = placed.selectExpr("token", "comp AS ca", f"{member} AS x"), placed.selectExpr("token", "comp AS cb", f"{member} AS y")
-    rest = cell_pairs.join(one, ["token", "ca"]).join(two, ["token", "cb"]).where(_near("x", "y", least)).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-    return first.union(_verified(rest, sets, least))
+def _apart(a: str, b: str, least: int) -> str:
+    """The filter on parity sketches."""
+    return f"{100 + least} * ({' + '.join(f'bit_count({a}.{x} ^ {b}.{x})' for x in BITS)}) <= {100 - least} * ({a}.n + {b}.n)"
+
+
+def _placed(a: str, b: str, least: int) -> str:
+    """The filter on sizes and on the places of a shared shingle: no set can share more than what follows its place."""
+    return f"100 * {a}.n >= {least} * {b}.n AND 100 * {b}.n >= {least} * {a}.n AND {100 + least} * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {least} * ({a}.n + {b}.n)"
+
+
+class _Join:
+    """The parts of one join that its steps share. docs: text; sets: sid, n, print, the sketches; posts: token, sid, n, pos."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, posts: DataFrame, words: int, least: int):
+        self.docs, self.sets, self.posts, self.words, self.least = docs, sets, posts, words, least
+        self.sketches = sets.select("sid", "n", *BITS)
+
+    def _few(self, df: DataFrame) -> bool:
+        return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sketches are near enough."""
+        x, y = self.sketches.alias("x"), self.sketches.alias("y")
+        return pairs.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(_apart("x", "y", self.least)).select("a", "b")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets link. Only the sets of these pairs are computed from the texts again and moved."""
+        pairs = cut(pairs)
+        ends = cut(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
+        need, wanted = cut(self.sets.select("sid", "print").join(ends, "sid")), None
+        if self._few(need):
+            halves = np.array(sorted(int.from_bytes(bytes(r.half), "little") for r in need.select(F.substring("print", 1, 8).alias("half")).collect()), np.uint64)
+            wanted, need = self.docs.sparkSession.sparkContext.broadcast(halves), F.broadcast(need)
+        sets = self.docs.select("text").mapInArrow(_hashed(self.words, wanted), "of binary, hashes binary").join(need, F.col("of") == F.col("print"))
+        sets = stored(sets.groupBy("sid").agg(F.first("hashes").alias("hashes")), "sets")
+        one, two = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("one")), sets.select(F.col("sid").alias("b"), F.col("hashes").alias("other"))
+        found = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "other").mapInArrow(_linked(self.least), "a long, b long"))
+        discard(sets)
+        if wanted:
+            wanted.destroy()
+        return found
+
+    def met(self, rows: DataFrame, turn: int) -> DataFrame:
+        """a, b: holders of a shingle and the leaders of their component's outside, of about one size."""
+        led = rows.withColumn("scale", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.least))))
+        drawn = [F.min_by(F.struct("sid", "n", "pos", "comp"), F.xxhash64("sid", F.lit(turn * HEADS + k))).alias(f"h{k}") for k in range(HEADS)]
+        heads = led.groupBy("token", "scale").agg(*drawn, F.count("*").alias("m")).where("m > 1").selectExpr("token", "scale", f"inline(array_distinct(array({', '.join(f'h{k}' for k in range(HEADS))})))")
+        pairs = heads.alias("h").join(led.alias("x"), ["token", "scale"]).where("h.comp <> x.comp AND " + _placed("h", "x", self.least))
+        return self.close(pairs.select(F.least("h.sid", "x.sid").alias("a"), F.greatest("h.sid", "x.sid").alias("b")).distinct())
+
+    def grouped(self, rows: DataFrame) -> DataFrame:
+        """a, b: all pairs of members of groups of different components that pass the filters, each once."""
+        least = self.least
+        marks = rows.groupBy("sid", "n", "comp").agg(F.sort_array(F.collect_list("token")).alias("tokens")).select("sid", "n", "comp", F.xxhash64("tokens").alias("k1"), F.xxhash64("tokens", F.lit(1)).alias("k2"))
+        keys = ["n", "comp", "k1", "k2"]
+        member = stored(marks.join(self.sketches.drop("n"), "sid"), "members")
+        ranges = [f(x).alias(f"{name}_{x}") for x in BITS for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+        groups = stored(member.groupBy(*keys).agg(F.min("sid").alias("gid"), *ranges), "groups")
+        of = stored(member.join(groups.select("gid", *keys), keys), "expanded")
+        posts = rows.select("token", "sid", "pos").join(of.select("sid", "gid"), "sid").groupBy("token", "gid").agg(F.min("pos").alias("pos")).join(groups.drop("k1", "k2"), "gid")
+        posts = stored(posts, "grouped")
+        # Bits that all of one group have and none of the other bound the difference of any two members.
+        apart = " + ".join(f"bit_count((p.all_{x} & ~q.any_{x}) | (q.all_{x} & ~p.any_{x}))" for x in BITS)
+        pairs = posts.alias("p").join(posts.alias("q"), "token").where(f"p.gid < q.gid AND p.comp <> q.comp AND {_placed('p', 'q', least)} AND {100 + least} * ({apart}) <= {100 - least} * (p.n + q.n)")
+        pairs = cut(pairs.selectExpr("p.gid AS ga", "q.gid AS gb").distinct())
+        x, y = of.alias("x"), of.alias("y")
+        out = cut(pairs.join(x, F.col("ga") == F.col("x.gid")).join(y, F.col("gb") == F.col("y.gid")).where(_apart("x", "y", least)).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")))
+        for df in (member, groups, of, posts):
+            discard(df)
+        return out
+
+    def labels(self) -> DataFrame:
+        """node, label for all sets that link with any."""
+        links, known, before = None, None, None
+        for turn in range(TURNS + 1):
+            if known is None:
+                rows = self.posts.withColumn("comp", F.col("sid"))
+            else:
+                placed = self.posts.join(known, self.posts["sid"] == known["node"], "left").select("token", "sid", "n", "pos", F.coalesce("label", "sid").alias("comp"))
+                mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+                rows = stored(placed.join(mixed, "token", "left_semi"), "live")
+                counts = rows.groupBy("token", "comp").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
+                held, open_pairs = counts.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()
+                # Leaders go on meeting while that removes most of what is left; then every open pair is looked at.
+                if not held or open_pairs <= 4 * held or turn == TURNS or before is not None and open_pairs > 0.7 * before:
+                    found = self.verified(self.grouped(rows)) if held else None
+                    discard(rows)
+                    return components(links.union(found)) if found is not None else known
+                before = open_pairs
+            met = self.verified(self.met(rows, turn))
+            if known is not None:
+                discard(rows)
+            links = met if links is None else links.union(met)
+            known = components(links)
+
+
+def _levels(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """The level of each counter, and the level from which shingles are heavy. 4 MB reach the driver, whatever the input."""
+    slices = 1 << (COUNTERS - SLICE)
+    rows = docs.select("text").mapInArrow(_counted(words), "slice long, places binary, counts binary").repartition(slices, "slice").mapInArrow(_added, "slice long, levels binary").collect()
+    levels = np.zeros((slices, 1 << SLICE), np.uint8)
+    for r in rows:
+        levels[r.slice] = np.frombuffer(r.levels, np.uint8)
+    mean = float(np.mean(np.exp2(levels / 4.0) - 1))
+    return levels.ravel(), int(np.floor(4 * np.log2(1 + HEAVY + 8 * mean)))
+
+
+def _groups(docs: DataFrame, words: int, least: int) -> DataFrame:
+    """doc_id, mark, n, component_id; docs: doc_id, text, mark."""
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)["doc_id"]
+    levels, heavy = _levels(docs, words)
+    handed = spark.sparkContext.broadcast(levels)
+    # Row numbers are stored with the rows, so that they hold if a task is run again.
+    signed = docs.mapInArrow(_signed(words, least, handed, heavy), f"doc_id {kind}, mark long, n int, print binary, light int, tokens binary, {', '.join(f'{x} long' for x in BITS)}")
+    signed = stored(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    full = signed.where("n > 0")
+    classes = stored(full.groupBy("print").agg(F.min("row").alias("sid"), F.min("doc_id").alias("low"), F.count("*").alias("m")), "classes")
+    again = cut(full.select("row", "print").join(classes.where("m > 1").select("print", "sid"), "print").where("row <> sid").select(F.col("row").alias("gone")))
+    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sets = full.join(F.broadcast(again) if few else again, full["row"] == again["gone"], "left_anti").withColumnRenamed("row", "sid")
+    if not few:
+        sets = stored(sets, "distinct")
+    posts = sets.select("sid", "n", "light", "tokens").mapInArrow(_posted, "token long, sid long, n int, pos int, salt int")
+    posts = posts.repartition("token", "salt").sortWithinPartitions("token").mapInArrow(_shared, "token long, sid long, n int, pos int")
+    posts = stored(posts, "posts")
+    labels = _Join(docs, sets, posts, words, least).labels()
+    named = classes.join(labels, classes["sid"] == labels["node"], "left").select("print", "low", F.coalesce("label", "sid").alias("label"))
+    lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
+    by_print = named.select(F.col("print").alias("of"), "label").join(lows, "label").select("of", "component_id")
+    found = signed.select("doc_id", "mark", "n", "print").join(by_print, (F.col("print") == F.col("of")) & (F.col("n") > 0), "left")
+    out = stored(found.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "components")
+    for df in (posts, classes, signed, *([] if few else [sets])):
+        discard(df)
+    handed.destroy()
+    return out
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,34 +337,22 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_col:
     Words are parted by space and the controls 9 to 13 after lower-casing A-Z; a text with fewer words than a shingle is one
     shingle. A null text, or one without words, has none and links with nothing, not even its like. Links need
     least hundredths of the union in common. Rows with null ids connect others like any row; component_id is null where
-    no row of the component has an id. Rows may repeat. An empty table gives no rows. Other columns are ignored.
+    no row of the component has an id. Rows may repeat. An empty table gives no rows. Other columns are ignored. The texts are read
+    several times: hand in what is stored, not what is costly to compute.
     """
-    bare = pick(docs, doc_id=id_col, text=text_col)
-    kind = dict(bare.dtypes)["doc_id"]
-    # Row numbers are stored with the rows, so that they hold if a task is run again.
-    signed = stored(bare.mapInArrow(_sign(words), f"doc_id {kind}, n long, print binary, hashes binary, {', '.join(f'{x} long' for x in BITS)}").withColumn("row", F.monotonically_increasing_id()), "shingles")
-    full = signed.where("n > 0")
-    classes = cut(full.groupBy("print").agg(F.min("row").alias("sid"), F.min("doc_id").alias("low"), F.count("*").alias("m")))
-    again = cut(full.select("row", "print").join(classes.where("m > 1").select("print", "sid"), "print").where("row <> sid").select(F.col("row").alias("gone")))
-    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sets = full.join(F.broadcast(again) if few else again, full.row == again.gone, "left_anti").select(F.col("row").alias("sid"), "n", "hashes", *BITS)
-    if not few:
-        sets = stored(sets, "sets")
-    labels = components(_links(sets, least))
-    named = classes.join(labels, classes.sid == labels.node, "left").select("print", "low", F.coalesce("label", "sid").alias("label"))
-    lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_print = named.select(F.col("print").alias("of"), "label").join(lows, "label").select("of", "component_id")
-    found = signed.select("doc_id", "n", "print").join(by_print, (F.col("print") == F.col("of")) & (F.col("n") > 0), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    bare = pick(docs, doc_id=id_col, text=text_col).withColumn("mark", F.lit(0).cast("long"))
+    return _groups(bare, words, least).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the one with the smallest id; rows without shingles all stay.
+    """The rows of docs that stay, with all their columns: of each component those with the smallest id; rows without shingles all stay.
 
-    Ids name rows here: rows with a null id stay, and rows that repeat an id stay or go together.
+    An id and its text name a row: rows with a null id stay, different texts under one id are told apart, and rows that repeat both
+    stay or go together.
     """
-    groups = near_groups(docs, id_col=id_col, text_col=text_col)
-    gone = cut(groups.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+    marked = F.xxhash64(F.col(text_col).cast("binary"))
+    groups = _groups(pick(docs, doc_id=id_col, text=text_col).withColumn("mark", F.xxhash64(F.col("text").cast("binary"))), WORDS, LEAST)
+    gone = cut(groups.where("component_id < doc_id").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct())
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (marked == gone["__mark"]), "left_anti")
