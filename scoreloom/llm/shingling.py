@@ -73,11 +73,8 @@ def _sets(data: np.ndarray, bounds: np.ndarray, words: int) -> list[np.ndarray]:
     return found
 
 
-def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
-    """For each text the ascending distinct 64-bit hashes of its shingles: runs of so many words, or the whole of a shorter text.
-
-    Words are parted by space and the controls 9 to 13; A-Z count as a-z. Null, empty and blank texts have none.
-    """
+def _portions(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes of some texts, end to end, and where each begins."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -87,5 +84,27 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PORTION, "right")) - 1)
-        yield from _sets(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], words)
+        yield data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
         at = to
+
+
+def texts_hashed(column: pa.Array, letters: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For portions of the texts: how many, and for each word its text's place in the portion and the 64-bit hash of its first letters."""
+    for data, bounds in _portions(column):
+        if not len(data):
+            yield len(bounds) - 1, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            continue
+        starts, ends = _words(data, bounds)
+        letter = (data & 0xC0) != 0x80  # all bytes but those that go on with a letter
+        places = np.append(np.flatnonzero(letter), [len(data)] * letters)
+        cut = places[np.cumsum(letter)[starts] - 1 + letters]
+        yield len(bounds) - 1, np.searchsorted(bounds, starts, "right") - 1, _hashed(data, starts, np.minimum(ends, cut))
+
+
+def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the ascending distinct 64-bit hashes of its shingles: runs of so many words, or the whole of a shorter text.
+
+    Words are parted by space and the controls 9 to 13; A-Z count as a-z. Null, empty and blank texts have none.
+    """
+    for data, bounds in _portions(column):
+        yield from _sets(data, bounds, words)

@@ -1,140 +1,203 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are words and word beginnings. From a bounded sample of labelled rows come the terms that
-go with the label, their inverse document frequencies and an index of the examples: postings in blocks,
-each with the highest weight of its term. A text asks for its nearest examples by exact TF-IDF cosine:
-blocks are opened by falling bound until none can enter the list. Votes weighted by nearness, corrected for
+Terms are words, cut to their first letters. A bounded sample of labelled rows gives all its terms an inverse document frequency
+and a relevance for the label, and an index of the examples: postings by term, in blocks of examples, each with the highest weight of its
+term. A text asks for its nearest examples by exact cosine over all terms that any example has: the blocks of highest bound
+are opened, and then all whose bound can still enter the list. Votes weighted by nearness, corrected for
 the sampling of the classes, are calibrated on the examples themselves, each without its own vote.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored, texts
+from .common import pick
+from .shingling import texts_hashed
 
-#: Labelled rows of each class that are learnt from, at most; chosen by a hash of their id.
+#: Labelled rows of each class that are learnt from, at most; chosen by a hash of their id. This bounds the index.
 EXAMPLES = 3000
-#: Terms in the index, at most; those that go with the label most clearly.
-TERMS = 4096
-#: Chi-square that a term must reach, and examples that must hold it.
-CLEAR, LEAST_ROWS = 20.0, 4
+#: Letters of a word that count.
+LETTERS = 8
 BLOCK = 64
 NEAREST = 15
-BEGINNINGS = (4, 5, 6)
-WORD = re.compile(r"[^\W_]+")
+#: Blocks that a text opens before it knows how near its nearest are.
+FIRST = 8
+#: A term held by at least one example in so many has its weights in a dense row.
+DENSE = 32
+#: Chi, less its usual noise, at which a term has half the greatest relevance; none has less than the least.
+NOISE, HALF, RELEVANT_LEAST = 2.0, 20.0, 0.0025
+#: Decimals of a cosine that count; more depend on the order of sums.
+PLACES = 9
 
 
-def _words(text: str) -> Counter:
-    return Counter(WORD.findall(text.lower()))
+def _plain(column: pa.Array) -> pa.Array:
+    """Lower-case letters, digits and single spaces."""
+    return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(column, "")), r"[^\pL\pN\pM]+", " ")
 
 
-def _terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)]
+def text_terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For portions of the texts: how many, and for each text and term once the text's place in the portion, the term and its count, in order."""
+    for n, row, word in texts_hashed(_plain(column), LETTERS):
+        if not len(row):
+            yield n, row, word, row
+            continue
+        order = np.lexsort((word, row))
+        row, word = row[order], word[order]
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])))
+        yield n, row[first], word[first], np.diff(np.append(first, len(row)))
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+def _sums(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(row, values, minlength=n)
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for label, found in enumerate(counts):
-            if found:
-                yield pa.record_batch([pa.array(list(found), pa.string()), pa.array([label] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["term", "label", "n"])
-            found.clear()
 
-    for b in batches:
-        for text, label in zip(texts(b.column("text")), b.column("toxic").to_pylist()):
-            counts[label].update({t for w in _words(text) for t in _terms_of(w)})
-            if sum(map(len, counts)) > 300_000:
-                yield from flush()
-    yield from flush()
+def _expanded(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, end to end, and of which range each is."""
+    n = last - first
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n - first, n), of
 
 
 @dataclass
 class Index:
-    """The examples: their ids, labels and class weights, and the block-max inverted index over them."""
-
-    number: dict[str, int] = field(default_factory=dict)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    """The examples: ids, labels and class weights, and the block-max inverted index over them."""
+
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Postings of term t: first[t] to first[t + 1], examples ascending; the same for the blocks and their highest weights.
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    block_first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    #: The row of a term in dense and dense_most (blocks), or -1.
+    dense_row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    dense_most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     ids: list = field(default_factory=list)
     label: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: For each term: blocks, their highest weights, and the examples and weights of each block.
-    postings: list[tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = field(default_factory=list)
-    blocks: int = 0
+    vote_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     prior: float = 0.0
-    alone: float = 0.0
     line: tuple[float, float] = (1.0, 0.0)
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
-
-    def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of a text and their weights, of length 1."""
-        counts: Counter = Counter()
-        known, number = self.known, self.number
-        if len(known) > 200_000:
-            known.clear()
-        for word, n in words.items():
-            terms = known.get(word)
-            if terms is None:
-                terms = known[word] = tuple(number[t] for t in _terms_of(word) if t in number)
-            for t in terms:
-                counts[t] += n
-        terms = np.array(sorted(counts), np.int64)
-        raw = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms] if len(terms) else np.zeros(0)
-        return terms, raw / (math.sqrt(float(raw @ raw)) or 1)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above 0 and their cosines; ties to the earlier example. but: one that is left out."""
-        bound, where = np.zeros(self.blocks), {}
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            blocks, most, lists = self.postings[t]
-            bound[blocks] += w * most
-            for b, part in zip(blocks.tolist(), lists):
-                where.setdefault(b, []).append((w, part))
-        best, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < cosines[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for w, (example, weight) in where[b]:
-                score[example - b * BLOCK] += w * weight
-            if b * BLOCK <= but < (b + 1) * BLOCK:
-                score[but - b * BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            best, cosines = np.append(best, hit + b * BLOCK), np.append(cosines, score[hit])
-            order = np.lexsort((best, -np.round(cosines, 12)))[:k]
-            best, cosines = best[order], cosines[order]
-        return best, cosines
-
-    def vote(self, best: np.ndarray, cosines: np.ndarray) -> float:
+
+    @classmethod
+    def built(cls, ids: list, label: np.ndarray, vote_weight: np.ndarray, row: np.ndarray, word: np.ndarray, count: np.ndarray) -> Index:
+        """row, word, count: the terms of the examples, by example."""
+        n = len(ids)
+        terms, term = np.unique(word, return_inverse=True)
+        df = np.bincount(term, minlength=len(terms)).astype(float)
+        a, n1 = _sums(term, label[row], len(terms)), float(label.sum())
+        n0, b = n - n1, df - a
+        under = df * (n - df) * n0 * n1
+        chi = np.sqrt(n * (a * n0 - b * n1) ** 2 / np.where(under > 0, under, np.inf))
+        strong = np.maximum(chi - NOISE, 0) ** 2
+        scale = (np.log((1 + n) / (1 + df)) + 1) * np.maximum(strong / (strong + HALF), RELEVANT_LEAST)
+        raw = (1 + np.log(count)) * scale[term]
+        weight = raw / np.sqrt(_sums(row, raw**2, n))[row]
+        # Examples of one class whose heaviest terms agree share blocks.
+        top = np.full(n, -1, np.int64)
+        top[row[np.argsort(weight, kind="stable")]] = term[np.argsort(weight, kind="stable")]
+        place = np.lexsort((np.arange(n), top, label))
+        new = np.empty(n, np.int64)
+        new[place] = np.arange(n)
+        order = np.lexsort((new[row], term))
+        term, example, weight = term[order], new[row][order], weight[order]
+        first = np.searchsorted(term, np.arange(len(terms) + 1))
+        start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK))) if len(term) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(weight, start) if len(start) else weight
+        often = np.flatnonzero(df * DENSE >= n)
+        dense_row = np.full(len(terms), -1, np.int32)
+        dense_row[often] = np.arange(len(often))
+        dense = np.zeros((len(often), -(-n // BLOCK) * BLOCK))
+        at = dense_row[term] >= 0
+        dense[dense_row[term][at], example[at]] = weight[at]
+        own = cls(terms, scale, first, example.astype(np.int32), weight, np.searchsorted(term[start], np.arange(len(terms) + 1)), (example[start] // BLOCK).astype(np.int32), most, dense_row, dense, dense.reshape(len(often), -1, BLOCK).max(axis=2) if len(often) else np.zeros((0, -(-n // BLOCK))), [ids[k] for k in place.tolist()], label[place], vote_weight[place])
+        own.prior = float((own.vote_weight @ own.label) / own.vote_weight.sum())
+        return own
+
+    def vectors(self, n: int, row: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """row, term and weight of n texts; each text has length 1 over the terms of the index."""
+        at = np.minimum(np.searchsorted(self.terms, word), max(len(self.terms) - 1, 0))
+        known = self.terms[at] == word if len(self.terms) else np.zeros(len(word), bool)
+        row, term = row[known], at[known]
+        raw = (1 + np.log(count[known])) * self.scale[term]
+        return row, term, raw / np.sqrt(_sums(row, raw**2, n))[row]
+
+    def cosines(self, n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray, but: np.ndarray | None = None) -> np.ndarray:
+        """n texts by examples: the cosines of all examples in the blocks that may hold one of the NEAREST, else 0. but: an example of each that is left out."""
+        size = len(self.ids)
+        blocks = -(-size // BLOCK)
+        k = self.dense_row[term]
+        thick = np.zeros((n, len(self.dense)))
+        thick[row[k >= 0], k[k >= 0]] = weight[k >= 0]
+        row, term, weight = row[k < 0], term[k < 0], weight[k < 0]
+        at, of = _expanded(self.block_first[term], self.block_first[term + 1])
+        bound = thick @ self.dense_most + _sums(row[of] * blocks + self.block[at], weight[of] * self.most[at], n * blocks).reshape(n, blocks)
+        at, of = _expanded(self.first[term], self.first[term + 1])
+        place, cell, value = row[of] * (blocks * BLOCK) + self.example[at], row[of] * blocks + self.example[at] // BLOCK, weight[of] * self.weight[at]
+        found = np.zeros((n, blocks * BLOCK))
+
+        def opened(wanted: np.ndarray) -> None:
+            use = wanted.ravel()[cell]
+            np.add(found, _sums(place[use], value[use], found.size).reshape(found.shape), out=found)
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows = np.flatnonzero(wanted[:, b])
+                found[rows, b * BLOCK : (b + 1) * BLOCK] += thick[rows] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+
+        begin = np.zeros((n, blocks), bool)
+        begin[np.arange(n)[:, None], np.argpartition(-bound, min(FIRST, blocks) - 1, axis=1)[:, :FIRST]] = True
+        opened(begin & (bound > 0))
+        held = found.copy()
+        if but is not None:
+            held[np.arange(n), but] = 0
+        least = np.partition(held, -NEAREST - 1, axis=1)[:, -NEAREST - 1] if held.shape[1] > NEAREST else np.zeros(n)
+        opened((bound > 0) & (bound >= least[:, None] - 1e-9) & ~begin)
+        if but is not None:
+            found[np.arange(n), but] = 0
+        return np.round(found[:, :size], PLACES)
+
+    def nearest(self, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The NEAREST examples of each text by falling cosine, ties to the earlier example, and their cosines; those at 0 are none."""
+        wide = min(NEAREST, cosines.shape[1])
+        limit = np.partition(cosines, -wide, axis=1)[:, -wide]
+        best, near = np.zeros((len(cosines), wide), np.int64), np.zeros((len(cosines), wide))
+        row, example = np.nonzero((cosines >= limit[:, None]) & (cosines > 0))
+        value = cosines[row, example]
+        order = np.lexsort((example, -value, row))
+        row, example, value = row[order], example[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(cosines)))[row]
+        use = place < wide
+        best[row[use], place[use]], near[row[use], place[use]] = example[use], value[use]
+        return best, near
+
+    def votes(self, best: np.ndarray, near: np.ndarray) -> np.ndarray:
         """The share of the votes for label 1; the prior votes too, as one example at distance 1."""
-        near = 1 / (1.05 - np.minimum(cosines, 1))
-        mine = near * self.weight[best]
-        return float((mine @ self.label[best] + self.prior / 1.05) / (mine.sum() + 1 / 1.05))
+        mine = np.where(near > 0, self.vote_weight[best] / (1.05 - np.minimum(near, 1)), 0)
+        return ((mine * self.label[best]).sum(axis=1) + self.prior / 1.05) / (mine.sum(axis=1) + 1 / 1.05)
 
-    def score(self, text: str) -> tuple[float, list[dict]]:
-        if not self.ids:
-            return 0.0, []
-        best, cosines = self.nearest(*self.vector(_words(text)))
-        if not len(best):
-            return self.alone, []
-        a, b = self.line
-        evidence = [{"doc_id": self.ids[i], "cosine": float(c), "toxic": int(self.label[i])} for i, c in zip(best[:3].tolist(), cosines)]
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, a * _logit(self.vote(best, cosines)) + b)))), evidence
+    def scored(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For portions of the texts: scores, nearest examples and their cosines."""
+        for n, row, word, count in text_terms(column):
+            if not self.ids:
+                yield np.zeros(n), np.zeros((n, 0), np.int64), np.zeros((n, 0))
+                continue
+            best, near = self.nearest(self.cosines(n, *self.vectors(n, row, word, count)))
+            a, b = self.line
+            yield 1 / (1 + np.exp(-np.clip(a * _logit(self.votes(best, near)) + b, -50, 50))), best, near
 
 
-def _logit(p: float) -> float:
-    p = min(max(p, 1e-6), 1 - 1e-6)
-    return math.log(p / (1 - p))
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
 
 
 def _fitted_line(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -152,96 +215,89 @@ def _fitted_line(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, fl
     return float(max(beta[0], 0.05)), float(beta[1])
 
 
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            b = batch.slice(at, 64)
+            words, counts = [], []
+            for n, row, word, count in text_terms(b.column("text")):
+                ends = np.searchsorted(row, np.arange(n + 1))
+                words += [word[x:y].tobytes() for x, y in zip(ends, ends[1:])]
+                counts += [count[x:y].astype("<u4").tobytes() for x, y in zip(ends, ends[1:])]
+            yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "toxic", "words", "counts"])
+
+
 def learnt(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
-    """docs: doc_id, text; labels: doc_id, toxic (0 or 1; other values and null ids are ignored, of repeated ids the highest label counts)."""
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1; other values and null ids are ignored, of repeated ids the highest label counts).
+
+    At most `examples` labelled ids of each class are learnt from, drawn by a hash of the id; their terms reach the driver.
+    """
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     whole = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for c in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]).withColumnRenamed("doc_id", "__id"))  # 2 * examples rows at most
-    sample = stored(docs.join(few, docs.doc_id == few["__id"]).select("doc_id", "text", "toxic"), "examples")
-    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    index = Index()
-    if not n0 + n1:
-        return index
-    seen = sample.select("text", "toxic").mapInArrow(_frequencies, "term string, label int, n long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"))
-    n, a, b = float(n0 + n1), F.col("a"), F.col("b")
-    under = (a + b) * (F.lit(n) - a - b) * F.lit(float(n0 * n1))
-    clear = seen.where(a + b >= LEAST_ROWS).withColumn("chi", F.lit(n) * F.pow(a * n0 - b * n1, 2) / F.when(under > 0, under).otherwise(F.lit(1e300))).where(F.col("chi") >= CLEAR)
-    terms = clear.orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    index.number = {r.term: i for i, r in enumerate(terms)}
-    index.idf = np.array([math.log((1 + n) / (1 + r.a + r.b)) + 1 for r in terms])
-    handed = docs.sparkSession.sparkContext.broadcast((index.number, index.idf))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, idf = handed.value
-        own = Index(number=number, idf=idf)
-        for batch in batches:
-            found = [own.vector(_words(x)) for x in texts(batch.column("text"))]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array([t for t, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
-
-    kind = dict(sample.dtypes)["doc_id"]
-    rows = sample.mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<long>, weights array<double>").collect()
-    rows.sort(key=lambda r: (r.toxic, r.terms, r.doc_id))  # alike examples share blocks
-    index.ids, index.label = [r.doc_id for r in rows], np.array([r.toxic for r in rows], float)
-    index.weight = np.where(index.label == 1, whole.get(1, 0) / max(n1, 1), whole.get(0, 0) / max(n0, 1))
-    index.weight /= index.weight.mean()
-    index.blocks = -(-len(rows) // BLOCK)
-    lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for e, r in enumerate(rows):
-        for t, w in zip(r.terms, r.weights):
-            lists[t].append((e, w))
-    for one in lists:
-        example, weight = np.array([e for e, _ in one], np.int64), np.array([w for _, w in one])
-        blocks, first = np.unique(example // BLOCK, return_index=True)
-        index.postings.append((blocks, np.maximum.reduceat(weight, first) if len(first) else weight, list(zip(np.split(example, first[1:]), np.split(weight, first[1:])))))
-    index.prior = float((index.weight @ index.label) / index.weight.sum())
-    votes, known = np.zeros(len(rows)), np.zeros(len(rows), bool)
-    for e, r in enumerate(rows):
-        best, cosines = index.nearest(np.array(r.terms, np.int64), np.array(r.weights), but=e)
-        known[e], votes[e] = len(best) > 0, index.vote(best, cosines) if len(best) else 0
-    rest = ~known
-    index.alone = float((index.weight[rest] @ index.label[rest] + index.prior) / (index.weight[rest].sum() + 1))
-    if known.any():
-        index.line = _fitted_line(np.array([_logit(v) for v in votes[known]]), index.label[known], index.weight[known])
+    # Of rows that repeat an id, one is learnt from: the least text.
+    one = docs.join(few, docs.doc_id == few["__id"]).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = one.mapInArrow(_example_terms, f"doc_id {kind}, toxic int, words binary, counts binary").collect()
+    if not rows:
+        return Index()
+    rows.sort(key=lambda r: (r.toxic, r.doc_id))
+    label = np.array([r.toxic for r in rows], float)
+    sizes = np.bincount(label.astype(int), minlength=2)
+    weight = np.array([whole.get(c, 0) / max(sizes[c], 1) for c in label.astype(int)])
+    row = np.repeat(np.arange(len(rows)), [len(r.counts) // 4 for r in rows])
+    word, count = np.frombuffer(b"".join(r.words for r in rows), np.uint64), np.frombuffer(b"".join(r.counts for r in rows), "<u4").astype(np.int64)
+    index = Index.built([r.doc_id for r in rows], label, weight / weight.mean(), row, word, count)
+    place = {d: k for k, d in enumerate(index.ids)}
+    votes = np.zeros(len(rows))
+    ends = np.searchsorted(row, np.arange(len(rows) + 1))
+    for at in range(0, len(rows), 64):
+        to = min(at + 64, len(rows))
+        x, y = ends[at], ends[to]
+        own = np.array([place[r.doc_id] for r in rows[at:to]])
+        votes[own] = index.votes(*index.nearest(index.cosines(to - at, *index.vectors(to - at, row[x:y] - at, word[x:y], count[x:y]), but=own)))
+    index.line = _fitted_line(_logit(votes), index.label, index.vote_weight)
     return index
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score, predicted, evidence (the nearest examples: doc_id, cosine, toxic).
 
-    Learns from the documents whose ids are in labels (doc_id, toxic). A null text counts as empty; a text without any term of the
-    index gets the rate of such examples; without examples all scores are 0. Ids may be null or repeat: each row is scored
-    by its own text. An empty table gives no rows. Other columns are ignored.
+    Learns from the documents whose ids are in labels (doc_id, toxic), from at most `examples` of each class. A null text counts as empty; a
+    text that shares no term with any example gets the calibrated prior; without examples all scores are 0. Ids may be null or repeat: each row is
+    scored by its own text. An empty table gives no rows. Other columns are ignored.
     """
     bare = pick(docs, doc_id=id_col, text=text_col)
     kind = dict(bare.dtypes)["doc_id"]
-    index = learnt(bare, labels.select("doc_id", "toxic"), examples)
-    index.known.clear()
-    handed = docs.sparkSession.sparkContext.broadcast(index)
+    handed = docs.sparkSession.sparkContext.broadcast(learnt(bare, labels.select("doc_id", "toxic"), examples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = handed.value
-        for b in batches:
-            found = [own.score(x) for x in texts(b.column("text"))]
-            scores = [s for s, _ in found]
-            shape = pa.list_(pa.struct([("doc_id", b.column("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.record_batch([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([e for _, e in found], shape)], ["doc_id", "score", "predicted", "evidence"])
+        for batch in batches:
+            at = 0
+            for scores, best, near in own.scored(batch.column("text")):
+                ids = batch.column("doc_id").slice(at, len(scores))
+                at += len(scores)
+                shape = pa.list_(pa.struct([("doc_id", ids.type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+                evidence = [[{"doc_id": own.ids[i], "cosine": c, "toxic": int(own.label[i])} for i, c in zip(b, x) if c > 0] for b, x in zip(best.tolist(), near.tolist())]
+                yield pa.record_batch([ids, pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, shape)], ["doc_id", "score", "predicted", "evidence"])
 
     return bare.mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id: {kind}, cosine: double, toxic: int>>")
 
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns. The text is scored in place; nothing of it is shuffled."""
+    """The rows of docs that are not predicted toxic, with all their columns. The text is scored in place; nothing of it is shuffled.
+
+    Null, empty and repeated rows are treated as by toxicity(); without examples all rows stay.
+    """
     bare = pick(docs, doc_id=id_col, text=text_col)
-    index = learnt(bare, labels.select("doc_id", "toxic"))
-    index.known.clear()
-    handed, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)
+    handed, at = docs.sparkSession.sparkContext.broadcast(learnt(bare, labels.select("doc_id", "toxic"))), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = handed.value
         for b in batches:
-            keep = [own.score(x)[0] < 0.5 for x in texts(b.column(at))]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            keep = [s < 0.5 for s, _, _ in own.scored(b.column(at))]
+            yield b.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
