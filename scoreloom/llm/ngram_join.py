@@ -61,7 +61,8 @@ def _counted(words: int):
             places = np.flatnonzero(part)
             if len(places):
                 sparse = len(places) < len(part) // 2
-                yield pa.record_batch([pa.array([k]), pa.array([places.astype("<u2").tobytes() if sparse else b""]), pa.array([(part[places] if sparse else part).astype("<u4").tobytes()])], ["slice", "places", "counts"])
+                kind = "<u1" if part.max() < 256 else "<u4"
+                yield pa.record_batch([pa.array([k]), pa.array([places.astype("<u2").tobytes() if sparse else b""]), pa.array([(part[places] if sparse else part).astype(kind).tobytes()])], ["slice", "places", "counts"])
 
     return run
 
@@ -73,7 +74,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, places, counts in zip(*(b.column(x).to_pylist() for x in ("slice", "places", "counts"))):
             table = sums.setdefault(k, np.zeros(1 << SLICE, np.int64))
             where = np.frombuffer(places, "<u2") if places else slice(None)
-            table[where] += np.frombuffer(counts, "<u4")
+            table[where] += np.frombuffer(counts, "<u1" if len(counts) == (len(places) // 2 or len(table)) else "<u4")
     for k, table in sums.items():
         yield pa.record_batch([pa.array([k]), pa.array([np.floor(4 * np.log2(1.0 + table)).astype(np.uint8).tobytes()])], ["slice", "levels"])
 
@@ -99,7 +100,7 @@ def _signed(words: int, least: int, levels, heavy: int):
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets to the shingles of their prefixes: token, sid, n, pos (the place in the order), salt (over 0 for heavy ones)."""
+    """Sets to the shingles of their prefixes: token, sid, at (size, place in the order, whether it is heavy)."""
     for batch in batches:
         counts = np.array([len(x) // 8 for x in batch.column("tokens").to_pylist()], np.int64)
         at = 0
@@ -109,9 +110,8 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = batch.slice(at, to - at)
             token = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.int64)
             sid, size, light = (np.repeat(b.column(x).to_numpy(zero_copy_only=False), n) for x in ("sid", "n", "light"))
-            pos = (np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            salt = np.where(pos < light, 0, 1 + sid % SPREAD).astype(np.int32)
-            yield pa.record_batch(list(map(pa.array, (token, sid, size, pos, salt))), ["token", "sid", "n", "pos", "salt"])
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.record_batch(list(map(pa.array, (token, sid, size.astype(np.int64) << 32 | pos << 1 | (pos >= light)))), ["token", "sid", "at"])
             at = to
 
 
@@ -125,14 +125,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         token = b.column("token").to_numpy()
         like = token[1:] == token[:-1]
-        keep = b.column("salt").to_numpy() > 0
+        keep = (b.column("at").to_numpy() & 1) > 0
         keep[1:] |= like
         keep[:-1] |= like
         keep[0] |= met
         rest, met = b.slice(b.num_rows - 1), bool(keep[-1])
-        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1])).select(["token", "sid", "n", "pos"])
+        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
     if rest is not None and met:
-        yield rest.select(["token", "sid", "n", "pos"])
+        yield rest
 
 
 def _hashed(words: int, wanted):
@@ -316,9 +316,9 @@ def _groups(docs: DataFrame, words: int, least: int) -> DataFrame:
     sets = full.join(F.broadcast(again) if few else again, full["row"] == again["gone"], "left_anti").withColumnRenamed("row", "sid")
     if not few:
         sets = stored(sets, "distinct")
-    posts = sets.select("sid", "n", "light", "tokens").mapInArrow(_posted, "token long, sid long, n int, pos int, salt int")
-    posts = posts.repartition("token", "salt").sortWithinPartitions("token").mapInArrow(_shared, "token long, sid long, n int, pos int")
-    posts = stored(posts, "posts")
+    posts = sets.select("sid", "n", "light", "tokens").mapInArrow(_posted, "token long, sid long, at long")
+    posts = posts.repartition("token", F.expr(f"if(at & 1 = 1, sid % {SPREAD}, -1)")).sortWithinPartitions("token").mapInArrow(_shared, "token long, sid long, at long")
+    posts = stored(posts.selectExpr("token", "sid", "cast(at >> 32 AS int) AS n", "cast((at & 4294967295) >> 1 AS int) AS pos"), "posts")
     labels = _Join(docs, sets, posts, words, least).labels()
     named = classes.join(labels, classes["sid"] == labels["node"], "left").select("print", "low", F.coalesce("label", "sid").alias("label"))
     lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
