@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -73,3 +76,22 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def power_of_two(n: int) -> int:
     """The least power of two that is n or more."""
     return 1 << max(0, int(n) - 1).bit_length()
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
+    """What runs inside hands Python at most so many rows at once: for wide rows, of which a usual batch would fill the memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Hands memory that a Python worker has freed back to the system. Workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import give_back, pick
 from .shingling import texts_hashed
 
 #: Labelled rows of each class that are learnt from, at most; chosen by a hash of their id. This bounds the index.
@@ -45,14 +45,15 @@ def _plain(column: pa.Array) -> pa.Array:
 
 def text_terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For portions of the texts: how many, and for each text and term once the text's place in the portion, the term and its count, in order."""
-    for n, row, word in texts_hashed(_plain(column), LETTERS):
-        if not len(row):
-            yield n, row, word, row
-            continue
-        order = np.lexsort((word, row))
-        row, word = row[order], word[order]
-        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])))
-        yield n, row[first], word[first], np.diff(np.append(first, len(row)))
+    for at in range(0, len(column), 256):
+        for n, row, word in texts_hashed(_plain(column.slice(at, 256)), LETTERS):
+            if not len(row):
+                yield n, row, word, row
+                continue
+            order = np.lexsort((word, row))
+            row, word = row[order], word[order]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])))
+            yield n, row[first], word[first], np.diff(np.append(first, len(row)))
 
 
 def _sums(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -81,7 +82,7 @@ class Index:
     most: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     #: The row of a term in dense and dense_most (blocks), or -1.
     dense_row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     dense_most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     ids: list = field(default_factory=list)
     label: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -102,7 +103,7 @@ class Index:
         strong = np.maximum(chi - NOISE, 0) ** 2
         scale = (np.log((1 + n) / (1 + df)) + 1) * np.maximum(strong / (strong + HALF), RELEVANT_LEAST)
         raw = (1 + np.log(count)) * scale[term]
-        weight = raw / np.sqrt(_sums(row, raw**2, n))[row]
+        weight = (raw / np.sqrt(_sums(row, raw**2, n))[row]).astype(np.float32)
         # Examples of one class whose heaviest terms agree share blocks.
         top = np.full(n, -1, np.int64)
         top[row[np.argsort(weight, kind="stable")]] = term[np.argsort(weight, kind="stable")]
@@ -117,10 +118,10 @@ class Index:
         often = np.flatnonzero(df * DENSE >= n)
         dense_row = np.full(len(terms), -1, np.int32)
         dense_row[often] = np.arange(len(often))
-        dense = np.zeros((len(often), -(-n // BLOCK) * BLOCK))
+        dense = np.zeros((len(often), -(-n // BLOCK) * BLOCK), np.float32)
         at = dense_row[term] >= 0
         dense[dense_row[term][at], example[at]] = weight[at]
-        own = cls(terms, scale, first, example.astype(np.int32), weight, np.searchsorted(term[start], np.arange(len(terms) + 1)), (example[start] // BLOCK).astype(np.int32), most, dense_row, dense, dense.reshape(len(often), -1, BLOCK).max(axis=2) if len(often) else np.zeros((0, -(-n // BLOCK))), [ids[k] for k in place.tolist()], label[place], vote_weight[place])
+        own = cls(terms, scale, first, example.astype(np.int32), weight, np.searchsorted(term[start], np.arange(len(terms) + 1)), (example[start] // BLOCK).astype(np.int32), most, dense_row, dense, dense.reshape(len(often), -1, BLOCK).max(axis=2).astype(float) if len(often) else np.zeros((0, -(-n // BLOCK))), [ids[k] for k in place.tolist()], label[place], vote_weight[place])
         own.prior = float((own.vote_weight @ own.label) / own.vote_weight.sum())
         return own
 
@@ -151,7 +152,7 @@ class Index:
             np.add(found, _sums(place[use], value[use], found.size).reshape(found.shape), out=found)
             for b in np.flatnonzero(wanted.any(axis=0)).tolist():
                 rows = np.flatnonzero(wanted[:, b])
-                found[rows, b * BLOCK : (b + 1) * BLOCK] += thick[rows] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+                found[rows, b * BLOCK : (b + 1) * BLOCK] += thick[rows] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK].astype(float)
 
         begin = np.zeros((n, blocks), bool)
         begin[np.arange(n)[:, None], np.argpartition(-bound, min(FIRST, blocks) - 1, axis=1)[:, :FIRST]] = True
@@ -274,6 +275,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = handed.value
+        give_back()
         for batch in batches:
             at = 0
             for scores, best, near in own.scored(batch.column("text")):
@@ -296,6 +298,7 @@ def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = handed.value
+        give_back()
         for b in batches:
             keep = [s < 0.5 for s, _, _ in own.scored(b.column(at))]
             yield b.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
