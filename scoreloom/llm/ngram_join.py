@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, discard, pick, stored
+from .common import BROADCAST_ROWS, cut, discard, give_back, pick, small_batches, stored
 from .shingling import WORDS, shingle_sets
 
 #: Similarity from which sets link, in hundredths.
@@ -38,6 +38,7 @@ OUT = 1 << 16
 
 
 def _batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             b = batch.slice(at, 256)
@@ -48,15 +49,20 @@ def _counted(words: int):
     """Texts to the counters of the shingles' lowest bits, in slices: places (none: all) and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = np.zeros(1 << COUNTERS, np.int64), [], 0
+        table, held, size = np.zeros(1 << COUNTERS, np.uint32), [], 0
+
+        def flush() -> None:
+            places, n = np.unique(np.concatenate(held) & np.uint64(len(table) - 1), return_counts=True)
+            table[places] += n.astype(np.uint32)
+
         for _, sets in _batches(batches, words):
             held += sets
             size += sum(map(len, sets))
             if size > 1 << 20:
-                np.add(table, np.bincount((np.concatenate(held) & np.uint64(len(table) - 1)).view(np.int64), minlength=len(table)), out=table)
+                flush()
                 held, size = [], 0
         if size:
-            table += np.bincount((np.concatenate(held) & np.uint64(len(table) - 1)).view(np.int64), minlength=len(table))
+            flush()
         for k, part in enumerate(table.reshape(-1, 1 << SLICE)):
             places = np.flatnonzero(part)
             if len(places):
@@ -153,6 +159,7 @@ def _hashed(words: int, wanted):
 
 def _linked(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             keep = []
             for x, y in zip(b.column("one"), b.column("other")):
@@ -302,6 +309,11 @@ def _levels(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
 
 def _groups(docs: DataFrame, words: int, least: int) -> DataFrame:
     """doc_id, mark, n, component_id; docs: doc_id, text, mark."""
+    with small_batches(docs.sparkSession):
+        return _found(docs, words, least)
+
+
+def _found(docs: DataFrame, words: int, least: int) -> DataFrame:
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     levels, heavy = _levels(docs, words)
