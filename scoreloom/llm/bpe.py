@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from .common import pick, texts
 
 #: Words and chunks whose ids a task remembers; then it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Characters of new words that merge together.
-ROUND_CHARS = 1 << 20
+ROUND_CHARS = 1 << 18
 #: Unicode white space.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: What Python splits at and the tokenizer does not.
@@ -184,7 +184,7 @@ class WordBpe:
         found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         rank[at] = np.where((self.keys[found] == key) & (of[at] == of[at + 1]), self.ranks[found], NONE)
 
-    def encode(self, batch: list[str], chars: int = 1 << 20) -> Iterator[bytes]:
+    def encode(self, batch: list[str], chars: int = 1 << 18) -> Iterator[bytes]:
         """The ids of each text, packed in self.kind. The new words of many texts are merged together."""
         at = 0
         while at < len(batch):

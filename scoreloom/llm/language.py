@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, texts
+from .common import give_back, pick, texts
 
 #: Labelled documents of a language that are learnt from, about; chosen by a hash of their id.
 LEARN_DOCS = 6000
@@ -228,8 +228,9 @@ def languages(docs: DataFrame, train: DataFrame, learn_docs: int = LEARN_DOCS, i
     handed = docs.sparkSession.sparkContext.broadcast(_plain(learnt(train.select("doc_id", "text", "lang"), learn_docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         model = Model(*handed.value)
-        for b in batches:
+        for b in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
             names, scores, mixes = _predictions(model, texts(b.column("text")))
             yield pa.record_batch([b.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(mixes, pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "mixture"])
 
@@ -248,8 +249,9 @@ def identified(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_c
     handed, at = docs.sparkSession.sparkContext.broadcast(_plain(learnt(train.select("doc_id", "text", "lang")))), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         model = Model(*handed.value)
-        for b in batches:
+        for b in (batch.slice(k, 512) for batch in batches for k in range(0, batch.num_rows, 512)):
             found = texts(b.column(at))
             keep = [x != UNKNOWN for x in _predictions(model, found)[0]] if model.langs else [bool(LETTERS.search(x.lower())) for x in found]
             yield b.filter(pa.array(keep, pa.bool_()))

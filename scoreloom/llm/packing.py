@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import loaded
-from .common import pick, small, stored, texts
+from .common import give_back, pick, small, stored, texts
 
 SEQUENCE = 2048
 UNIT = 16
@@ -166,7 +166,8 @@ def _tokens(path: str, sequence: int, unit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, packer, part = loaded(path), zstandard.ZstdCompressor(1), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        for b in batches:
+        give_back()
+        for b in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
             rows = []
             for packed in model.encode(texts(b.column("text"))):
                 n = len(packed) // model.kind.itemsize + 1
@@ -190,7 +191,8 @@ def _pieces(path: str, plan: Layout):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, unpacker = loaded(path), zstandard.ZstdDecompressor()
-        for b in batches:
+        give_back()
+        for b in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
             rows: list[tuple] = []
             index: list[int] = []
             column = b.column("ids")
