@@ -18,7 +18,7 @@ def missing(column: Column, numeric: bool) -> Column:
 
 def bin_labels(breaks: Sequence, numeric: bool) -> list[str]:
     """The label of each bin in order; special and missing come last."""
-    edges = [f"{b:g}" for b in breaks] + ["inf"] if numeric else [str(b) for b in breaks]
+    edges = [str(int(b)) if float(b).is_integer() else repr(float(b)) for b in breaks] + ["inf"] if numeric else [str(b) for b in breaks]
     return [*edges, "special", "missing"]
 
 
@@ -63,7 +63,10 @@ def pretty_breaks(df: DataFrame, names: Sequence[str], n: int = 8) -> dict[str,
 
 
 def merged_by_chi2(cells: list[tuple[float, float]], breaks: list[float], limit: int = 8, threshold: float = 2.7055, share: float = 0.05) -> list[float]:
-    """Break points after merging neighbours of (good, bad) cells: least chi-square under the threshold first, then thin cells, then too many cells."""
+    """Break points after merging neighbours of (good, bad) cells: least chi-square under the threshold first, then thin cells, then too many cells.
+
+    A thin cell loses its left edge (the first its right one). A pair without goods or without bads counts as alike.
+    """
     cells, cuts = [tuple(c) for c in cells], list(breaks)
     total = sum(g + b for g, b in cells)
 
@@ -79,8 +82,7 @@ def merged_by_chi2(cells: list[tuple[float, float]], breaks: list[float], limit:
         if values[at] >= threshold:
             thin = min(range(len(cells)), key=sizes.__getitem__)
             if sizes[thin] < share * total:
-                sides = [k for k in (thin - 1, thin) if 0 <= k < len(cuts)]
-                at = min(sides, key=values.__getitem__)
+                at = max(thin - 1, 0)
             elif len(cells) <= limit:
                 break
         cells[at : at + 2] = [(cells[at][0] + cells[at + 1][0], cells[at][1] + cells[at + 1][1])]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .validate import fitted
+
 
 def first_by_id(df: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
     """One row per id: the first in the given order."""
@@ -14,8 +16,42 @@ def first_by_id(df: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
     return df.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
-def replaced(df: DataFrame, special: dict[str, Sequence], by=None) -> DataFrame:
-    """Special values of each column by another value."""
+def standardised(df: DataFrame, id_col: str, order: Sequence[str], without: Sequence[str] = ()) -> DataFrame:
+    """The first row of each id in the given order, without the columns that are not wanted."""
+    return first_by_id(df, id_col, order).drop(*without)
+
+
+def allocated(df: DataFrame, kinds: dict[str, Sequence[str]] | None = None, keep: Sequence[str] = (), drop_date: bool = False, places: int = 10) -> DataFrame:
+    """Columns cast to numbers (double), text or dates.
+
+    kinds: column names under num, str and date; a date loses all but its digits first, yyyyMMdd. A column under two kinds is refused. Without
+    kinds all numbers and booleans become doubles rounded to so many places, and dates become days since 1970, or go. Columns in keep stay as they are.
+    """
+    if kinds:
+        named = [c for cols in kinds.values() for c in cols]
+        if len(named) > len(set(named)) or set(named) & set(keep) or set(kinds) - {"num", "str", "date"}:
+            raise ValueError("a column belongs to one kind: num, str or date")
+        how = {"num": lambda c: F.col(c).try_cast("double"), "str": lambda c: F.col(c).cast("string"), "date": lambda c: F.try_to_timestamp(F.regexp_replace(F.col(c).cast("string"), "[^0-9]", ""), F.lit("yyyyMMdd"))}
+        return df.withColumns({c: how[k](c) for k, cols in kinds.items() for c in cols})
+    out = []
+    for c, t in df.dtypes:
+        base = t.split("(")[0]
+        if c in keep or base == "string":
+            out.append(F.col(c))
+        elif base in ("date", "timestamp", "timestamp_ntz"):
+            out += [] if drop_date else [F.unix_date(F.col(c).cast("date")).cast("double").alias(c)]
+        elif base in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean"):
+            out.append(F.bround(F.col(c).cast("double"), places).alias(c))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
+def replaced(df: DataFrame, special: dict[str, Sequence] | Sequence, by=None) -> DataFrame:
+    """Special values by another value: of each named column, or a list that holds for all columns of its values' kind."""
+    if not isinstance(special, dict):
+        text, numbers = [v for v in special if isinstance(v, str)], [v for v in special if not isinstance(v, str)]
+        special = {c: text if t == "string" else numbers for c, t in df.dtypes if (text if t == "string" else numbers) and (t == "string" or t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))}
     return df.withColumns({c: F.when(F.col(c).isin(list(v)), F.lit(by).cast(dict(df.dtypes)[c])).otherwise(F.col(c)) for c, v in special.items()})
 
 
@@ -25,11 +61,12 @@ class Outliers:
     def __init__(self, columns: Sequence[str], method: str = "fill"):
         if method not in ("fill", "nan"):
             raise ValueError("method is fill or nan")
-        self.columns, self.method, self.bounds = list(columns), method, {}
+        self.columns, self.method, self.bounds = list(columns), method, None
 
     def fit(self, df: DataFrame) -> Outliers:
         at = F.array(*map(F.lit, (0.01, 0.25, 0.75, 0.99)))
         row = df.agg(*(F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), at).alias(c) for c in self.columns)).first()
+        self.bounds = {}
         for c in self.columns:
             if row[c]:
                 p1, q1, q3, p99 = row[c]
@@ -37,6 +74,8 @@ class Outliers:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        fitted(self, "bounds")
+
         def one(c: str) -> Column:
             low, high = self.bounds[c]
             x = F.col(c).cast("double")

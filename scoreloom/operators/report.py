@@ -22,6 +22,11 @@ def stacked(df: DataFrame, names: Sequence[str], cast: str, *others: str) -> Dat
     return df.select(*others, F.inline(cells))
 
 
+def absent(df: DataFrame, names: Sequence[str]) -> Column:
+    """Of stacked text: null, or not a number in a column of numbers. 'NaN' in a column of text is a level."""
+    return F.col("value").isNull() | (F.col("value") == "NaN") & F.col("variable").isin([n for n in names if is_numeric(df, n)])
+
+
 def numeric_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """variable, n, mean, std, min, p10 ... p90, max, missing_rate."""
     long = stacked(df, names, "double").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
@@ -41,7 +46,7 @@ def level_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def missing_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """variable, n, missings, missing_rate."""
     long = stacked(df, names, "string")
-    gone = F.col("value").isNull() | (F.col("value") == "NaN")
+    gone = absent(df, names)
     return long.groupBy("variable").agg(F.count("*").alias("n"), F.count_if(gone).alias("missings"), F.avg(gone.cast("double")).alias("missing_rate"))
 
 
@@ -75,7 +80,10 @@ def variable_report(df: DataFrame, target: str, breaks: Mapping[str, Sequence],
     frame = F.broadcast(_skeleton(df, breaks))  # one row per bin
     if by:
         frame = sums.select(*by).distinct().crossJoin(frame)  # groups by bins, both of the report's own size
-    t = frame.join(sums, [*by, "variable", "bin_no"], "left").fillna(0.0, ["count", "bad"]).withColumn("good", F.col("count") - F.col("bad"))
+    # Null is a group of its own, so keys are compared null-safe.
+    keys = [*by, "variable", "bin_no"]
+    held = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), "count", "bad")
+    t = frame.join(held, [frame[k].eqNullSafe(held[f"__{k}"]) for k in keys], "left").drop(*(f"__{k}" for k in keys)).fillna(0.0, ["count", "bad"]).withColumn("good", F.col("count") - F.col("bad"))
     whole = Window.partitionBy(*by, "variable")
     upto = whole.orderBy("bin_no").rowsBetween(Window.unboundedPreceding, 0)
     share = lambda c: (F.col(c) + regular) / (F.sum(c).over(whole) + 2 * regular)
@@ -91,16 +99,17 @@ def variable_report(df: DataFrame, target: str, breaks: Mapping[str, Sequence],
     )
 
 
-def stability(df: DataFrame, breaks: Mapping[str, Sequence], group: str, base: str | None = None) -> DataFrame:
-    """variable, group, psi: how far the bins of each group are from those of the base rows (a condition; all rows without one)."""
+def stability(df: DataFrame, breaks: Mapping[str, Sequence], group: str, base: str | None = None, special: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """variable, group, psi: how far the bins of each group are from those of the base rows (a condition; all rows without one). Null is a group."""
     flag = F.expr(base) if base else F.lit(True)
-    long = _cells(df, breaks, {}, F.col(group).alias("__group"), flag.alias("__base"))
+    long = _cells(df, breaks, special or {}, F.col(group).alias("__group"), flag.alias("__base"))
     sums = long.groupBy("variable", "__group", "bin_no").agg(F.count("*").cast("double").alias("n"), F.count_if("__base").cast("double").alias("nb"))
     groups = sums.select("variable", "__group").distinct()
     grid = groups.join(sums.select("variable", "bin_no").distinct(), "variable")
     basis = sums.groupBy("variable", "bin_no").agg(F.sum("nb").alias("nb"))
     basis = basis.select("variable", "bin_no", (F.col("nb") / F.sum("nb").over(Window.partitionBy("variable"))).alias("q"))
-    full = grid.join(sums.drop("nb"), ["variable", "__group", "bin_no"], "left").join(basis, ["variable", "bin_no"])
+    held = sums.select(F.col("variable").alias("__v"), F.col("__group").alias("__g"), F.col("bin_no").alias("__b"), "n")
+    full = grid.join(held, (F.col("variable") == F.col("__v")) & F.col("__group").eqNullSafe(F.col("__g")) & (F.col("bin_no") == F.col("__b")), "left").join(basis, ["variable", "bin_no"])
     p = F.coalesce("n", F.lit(0.0)) / F.sum("n").over(Window.partitionBy("variable", "__group"))
     held = full.select("variable", F.col("__group").alias("group"), F.when(p > 0, p).otherwise(1e-10).alias("p"), F.when(F.col("q") > 0, F.col("q")).otherwise(1e-10).alias("q"))
     return held.groupBy("variable", "group").agg(F.sum((F.col("p") - F.col("q")) * F.log(F.col("p") / F.col("q"))).alias("psi"))
@@ -116,3 +125,28 @@ def gains_table(df: DataFrame, score: str, target: str, breaks: Sequence[float],
     run = lambda c: F.sum(c).over(upto)
     total = F.sum("count").over(whole)
     return sums.select("model", "bin_no", "count", run("count").alias("cum_count"), "good", run("good").alias("cum_good"), "bad", run("bad").alias("cum_bad"), (F.col("count") / total).alias("count_distr"), (F.col("bad") / F.col("count")).alias("badprob"), (run("count") / total).alias("approval_rate"), (run("bad") / run("count")).alias("cum_posprob"))
+
+
+def group_pivot(table: DataFrame, by: str, value: str) -> DataFrame:
+    """variable, bin_no, breaks and a column of `value` for each group of a grouped variable_report(); groups become columns, so they must be few."""
+    groups = sorted((r[0] for r in table.select(by).distinct().collect()), key=lambda x: (x is None, x))
+    return table.groupBy("variable", "bin_no", "breaks").agg(*(F.max(F.when(F.col(by).eqNullSafe(F.lit(g)), F.col(value))).alias(f"{value}_{g}") for g in groups))
+
+
+def without_small_groups(df: DataFrame, by: Sequence[str], least: int) -> DataFrame:
+    """The rows whose group has at least so many rows; null is a group."""
+    large = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(*(F.col(c).alias(f"__{c}") for c in by))
+    return df.join(large, [df[c].eqNullSafe(large[f"__{c}"]) for c in by], "left_semi")
+
+
+def gains_breaks(df: DataFrame, score: str, bins: int = 10, how: str = "freq") -> list[float]:
+    """Break points of a score: freq by its percentiles, width of equal width."""
+    x = F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double"))
+    if how == "freq":
+        found = df.agg(F.percentile(x, F.array(*(F.lit(k / bins) for k in range(1, bins))))).first()[0] or []
+    elif how == "width":
+        low, high = df.agg(F.min(x), F.max(x)).first()
+        found = [] if low is None else [low + (high - low) * k / bins for k in range(1, bins)]
+    else:
+        raise ValueError("how is freq or width")
+    return sorted(set(found))

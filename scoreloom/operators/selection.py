@@ -8,15 +8,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .binning import bin_number
-from .report import is_numeric, stacked, variable_report
+from .encode import CardScorer, WoeEncoder
+from .regression import StepLogit
+from .report import absent, stacked, variable_report
 
 
 def filter_statistics(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """variable, missing_rate, modal_share (null counts as a value), levels: what the missing and unique filters look at."""
     counts = stacked(df, names, "string").groupBy("variable", "value").agg(F.count("*").cast("double").alias("n"))
     total = F.sum("n")
-    return counts.groupBy("variable").agg((F.sum(F.when(F.col("value").isNull() | (F.col("value") == "NaN"), F.col("n")).otherwise(0.0)) / total).alias("missing_rate"), (F.max("n") / total).alias("modal_share"), F.count("value").alias("levels"))
+    return counts.groupBy("variable").agg((F.sum(F.when(absent(df, names), F.col("n")).otherwise(0.0)) / total).alias("missing_rate"), (F.max("n") / total).alias("modal_share"), F.count("value").alias("levels"))
 
 
 def by_information_value(df: DataFrame, target: str, breaks: Mapping[str, Sequence], least: float = 0.02) -> DataFrame:
@@ -24,41 +25,23 @@ def by_information_value(df: DataFrame, target: str, breaks: Mapping[str, Sequen
     return variable_report(df, target, breaks).groupBy("variable").agg(F.max("total_iv").alias("total_iv")).where(F.col("total_iv") > least)
 
 
-def woe_columns(df: DataFrame, target: str, breaks: Mapping[str, Sequence]) -> DataFrame:
-    """df with <variable>_woe for each variable; the table of bins is fitted here and as small as the breaks."""
-    table = {(r.variable, r.bin_no): r.woe for r in variable_report(df, target, breaks).collect()}
-
-    def one(name: str):
-        at = bin_number(name, breaks[name], is_numeric(df, name))
-        found = F.lit(None).cast("double")
-        for (variable, k), woe in table.items():
-            if variable == name:
-                found = F.when(at == k, F.lit(float(woe))).otherwise(found)
-        return found
-
-    return df.withColumns({f"{n}_woe": one(n) for n in breaks})
-
-
 def points(pdo: float = 75.0, base: float = 660.0, ratio: float = 1 / 15) -> tuple[float, float]:
     """A and B of score = A - B * log-odds."""
     b = pdo / math.log(2)
     return base + b * math.log(ratio), b
 
 
-def scorecard(df: DataFrame, target: str, breaks: Mapping[str, Sequence], pdo: float = 75.0, base: float = 660.0, ratio: float = 1 / 15) -> tuple[DataFrame, DataFrame]:
-    """(points of each bin, df with the column score): a binomial regression on weights of evidence."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
+def scorecard(df: DataFrame, target: str, breaks: Mapping[str, Sequence], odds0: float = 1 / 100, pdo: float = 50, points0: float = 600, check_na: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(points of each bin and of the intercept, df with points and score): a binomial regression on weights of evidence.
 
-    names = [f"{n}_woe" for n in breaks]
-    data = woe_columns(df, target, breaks).dropna(subset=[target, *names])
-    vectors = VectorAssembler(inputCols=names, outputCol="__x").transform(data)
-    fit = GeneralizedLinearRegression(family="binomial", featuresCol="__x", labelCol=target).fit(vectors)
-    a, b = points(pdo, base, ratio)
-    weights = dict(zip(breaks, fit.coefficients.toArray().tolist()))
-    card = variable_report(df, target, breaks).select("variable", "breaks", F.round(F.create_map(*(x for n, w in weights.items() for x in (F.lit(n), F.lit(w))))[F.col("variable")] * F.col("woe") * -b).alias("points"))
-    score = F.lit(round(a - b * fit.intercept)) + sum((F.round(F.col(f"{n}_woe") * (-b * w)) for n, w in weights.items()), F.lit(0.0))
-    return card, data.withColumn("score", score)
+    The fit runs on the cells of equal weights, a row for each combination of bins. Rows with a null target don't count in it but are scored;
+    a level of no bin is an error, or with check_na=False gives a null score.
+    """
+    encoder = WoeEncoder(breaks, check_na=check_na).fit(variable_report(df, target, breaks))
+    names = {n: f"{n}__woe" for n in breaks}
+    fit = StepLogit().fit(encoder.transform(df, "__woe").select(target, *names.values()), list(names.values()), target)
+    scorer = CardScorer({n: fit.coefficients[c] for n, c in names.items()}, fit.intercept, odds0, pdo, points0).fit(encoder)
+    return scorer.card(df), scorer.transform(df)
 
 
 def missing_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -74,5 +57,5 @@ def missing_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def best_per_group(df: DataFrame, group: str, weight: str) -> DataFrame:
-    """The row of highest weight of each group."""
-    return df.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(weight)))).where("__place = 1").drop("__place")
+    """The row of highest weight of each group; of equal weights the least row by its other columns."""
+    return df.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(weight), *(c for c in df.columns if c not in (group, weight))))).where("__place = 1").drop("__place")

@@ -7,7 +7,10 @@ import pytest
 from scoreloom.operators.binning import merged_by_chi2, percentile_breaks, pretty, pretty_breaks
 from scoreloom.operators.cleaning import Missing, Outliers, first_by_id
 from scoreloom.operators.selection import points
-from scoreloom.plans.scorecard import ORACLE_SQL, QUERIES, items
+from scoreloom.plans import modelling, scorecard
+from scoreloom.plans.scorecard import items
+
+QUERIES, ORACLE_SQL = scorecard.QUERIES | modelling.QUERIES, scorecard.ORACLE_SQL | modelling.ORACLE_SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -20,7 +23,7 @@ def _values(rows):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders"):
+    for t in ("lineitem", "orders", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name]).to_arrow_table().to_pylist()
     got = [r.asDict() for r in QUERIES[name](spark, DATA).collect()]
