@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pick, texts
+from .common import KEPT, pick, texts
 
 #: Words and chunks whose ids a task remembers; then it starts anew.
 CACHE_WORDS = 300_000
@@ -214,6 +214,9 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+KEPT.append(loaded.cache_clear)
+
+
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)

@@ -7,7 +7,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -90,8 +90,14 @@ def small_batches(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def give_back() -> None:
-    """Hands memory that a Python worker has freed back to the system. Workers live on from task to task."""
+#: What drops the models that operators keep from task to task in a Python worker.
+KEPT: list[Callable[[], None]] = []
+
+
+def give_back(drop: bool = True) -> None:
+    """Hands memory that a Python worker has freed back to the system; drop: also that of models which other operators have kept there."""
+    for one in KEPT if drop else ():
+        one()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)

@@ -41,6 +41,7 @@ def _words(text: str) -> Counter:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     words: dict[str, Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:

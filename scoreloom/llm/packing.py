@@ -166,7 +166,7 @@ def _tokens(path: str, sequence: int, unit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, packer, part = loaded(path), zstandard.ZstdCompressor(1), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        give_back()
+        give_back(drop=False)
         for b in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
             rows = []
             for packed in model.encode(texts(b.column("text"))):
@@ -191,7 +191,7 @@ def _pieces(path: str, plan: Layout):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, unpacker = loaded(path), zstandard.ZstdDecompressor()
-        give_back()
+        give_back(drop=False)
         for b in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
             rows: list[tuple] = []
             index: list[int] = []

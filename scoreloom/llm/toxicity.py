@@ -217,6 +217,7 @@ def _fitted_line(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, fl
 
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             b = batch.slice(at, 64)
