@@ -176,7 +176,7 @@ ORACLE_SQL = {
     "group_pivot": f"WITH {_woe_sql(by='s')} SELECT variable, bin_no, breaks, round(max(CASE WHEN s = 'F' AND n > 0 THEN bad / n END), 6) AS badprob_F, round(max(CASE WHEN s = 'O' AND n > 0 THEN bad / n END), 6) AS badprob_O, round(max(CASE WHEN s IS NULL AND n > 0 THEN bad / n END), 6) AS badprob_None FROM f WHERE variable = 'x' GROUP BY ALL",
     "bin_encoded": f"WITH {_H} SELECT l_orderkey, l_linenumber, ['10', '20', '30', '40', 'inf', 'special', 'missing'][xb + 1] AS x, ['O', 'F', 'special', 'missing'][sb + 1] AS s FROM c",
     "woe_encoded": f"WITH {_woe_sql()}, {_WOES} SELECT l_orderkey, l_linenumber, round(i.woe, 6) AS x, round(j.woe, 6) AS s FROM c JOIN h i ON i.variable = 'x' AND i.bin_no = xb JOIN h j ON j.variable = 's' AND j.bin_no = sb",
-    "scorecard_scored": f"WITH {_woe_sql()}, {_WOES}, m AS (SELECT variable, bin_no, round_even(-(50 / ln(2)) * CASE variable WHEN 'x' THEN 0.8 ELSE 1.1 END * woe, 0) AS points FROM h) SELECT l_orderkey, l_linenumber, i.points AS x_points, j.points AS s_points, round_even(600 + 50 / ln(2) * ln(0.01) + 50 / ln(2) * 1.5, 0) + i.points + j.points AS score FROM c JOIN m i ON i.variable = 'x' AND i.bin_no = xb JOIN m j ON j.variable = 's' AND j.bin_no = sb",
+    "scorecard_scored": f"WITH {_woe_sql()}, {_WOES}, m AS (SELECT variable, bin_no, round_even(-(50 / ln(2)) * CASE variable WHEN 'x' THEN 0.8 ELSE 1.1 END * woe, 0) + 0::DOUBLE AS points FROM h) SELECT l_orderkey, l_linenumber, i.points AS x_points, j.points AS s_points, round_even(600 + 50 / ln(2) * ln(0.01) + 50 / ln(2) * 1.5, 0) + i.points + j.points AS score FROM c JOIN m i ON i.variable = 'x' AND i.bin_no = xb JOIN m j ON j.variable = 's' AND j.bin_no = sb",
     "freq_bin_vtab": f"WITH {_H}, q AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(x, [0.2, 0.4, 0.6, 0.8]), lambda e: round(e, 3)))) AS b FROM t WHERE l_linenumber < 6), u AS (SELECT CAST(list_sum(list_transform(b, lambda e: (x >= e)::INT)) AS INTEGER) AS bin_no, y FROM t, q WHERE l_linenumber < 6), n AS (SELECT g.bin_no, count(u.y) AS n, coalesce(sum(u.y), 0) AS bad FROM (SELECT unnest(range(0, 7)) AS bin_no) g LEFT JOIN u USING (bin_no) GROUP BY ALL), d AS (SELECT *, (bad + 1e-10) / (sum(bad) OVER () + 2e-10) AS bd, (n - bad + 1e-10) / (sum(n - bad) OVER () + 2e-10) AS gd FROM n) SELECT 'x' AS variable, CAST(bin_no AS INTEGER) AS bin_no, CAST(n AS DOUBLE) AS count, CAST(bad AS DOUBLE) AS bad, round(CASE WHEN bin_no > 4 THEN 0 ELSE ln(bd / gd) END, 6) AS woe, round(sum((bd - gd) * ln(bd / gd)) OVER (), 6) AS total_iv FROM d",
     "gains_freq": f"WITH {_H}, q AS (SELECT list_sort(list_distinct(quantile_cont(v, [0.2, 0.4, 0.6, 0.8]))) AS b FROM t), {_GAINS}",
     "gains_width": f"WITH {_H}, q AS (SELECT list_transform([1, 2, 3, 4], lambda k: min(v) + (max(v) - min(v)) * k / 5) AS b FROM t), {_GAINS}",
