@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,9 @@ from .common import cut, pick, power_of_two, small
 FILTER_ROWS = 1 << 20
 #: Fingerprints that a segment should hold.
 SEGMENT_ROWS = 1 << 19
-#: Bits of the routing map: 2^26 are 8 MB, whatever the size of the corpus. Where repeated fingerprints
-#: fill it, more single texts go to verification, which settles them; none is missed.
-ROUTE_BITS = 26
+#: Bits of the routing map for each repeated fingerprint, and the most and least bits (as powers of two: 128 MB, 8 kB).
+#: Where repeated fingerprints fill the largest map, more single texts go to verification, which settles them; none is missed.
+ROUTE_ROOM, ROUTE_MOST, ROUTE_LEAST = 16, 30, 16
 
 
 def _normalised(batch: pa.RecordBatch) -> list[bytes]:
@@ -41,7 +42,7 @@ def _prints(raw: list[bytes]) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = _normalised(batch)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(_prints(raw).view(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())], ["doc_id", "print", "text_sha256"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(_prints(raw).view(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())], ["doc_id", "mark", "print", "text_sha256"])
 
 
 def _filters(bits: int):
@@ -73,26 +74,29 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"print": prints[more].view(np.int64), "n": counts[more]})
 
 
-def _routed(words: dict[int, int]):
-    full = np.zeros(1 << (ROUTE_BITS - 6), np.uint64)
-    for k, v in words.items():
-        full[k] = np.uint64(v & 0xFFFFFFFFFFFFFFFF)
-    packed = full.tobytes() if words else b""
+def _map(twice: DataFrame) -> tuple[int, bytes]:
+    """The bits of the routing map and the map itself: a bit is set if a repeated fingerprint begins with its number."""
+    bits = min(ROUTE_MOST, max(ROUTE_LEAST, power_of_two(ROUTE_ROOM * twice.count()).bit_length() - 1))
+    at = F.shiftrightunsigned("print", 64 - bits)
+    words = twice.select(at.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    full = np.zeros(1 << (bits - 6), np.uint64)
+    full[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return bits, full.tobytes()
 
-    def route(handed):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.frombuffer(handed.value, np.uint64)
-            for batch in batches:
-                raw = _normalised(batch)
-                prints = _prints(raw)
-                hit = np.flatnonzero((table[(prints >> np.uint64(70 - ROUTE_BITS)).astype(np.int64)] >> ((prints >> np.uint64(64 - ROUTE_BITS)) & np.uint64(63))) & np.uint64(1)) if len(table) else np.zeros(0, np.int64)
-                for at in range(0, len(hit), 512):
-                    some = hit[at : at + 512]
-                    yield pa.record_batch([batch.column("doc_id").take(pa.array(some)), pa.array([raw[i] for i in some], pa.binary())], ["doc_id", "body"])
 
-        return run
+def _route(handed, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(handed.value, np.uint64)
+        for batch in batches:
+            raw = _normalised(batch)
+            prints = _prints(raw)
+            hit = np.flatnonzero((table[(prints >> np.uint64(70 - bits)).astype(np.int64)] >> ((prints >> np.uint64(64 - bits)) & np.uint64(63))) & np.uint64(1))
+            for at in range(0, len(hit), 512):
+                some = hit[at : at + 512]
+                yield pa.record_batch([batch.column("doc_id").take(pa.array(some)), pa.array([raw[i] for i in some], pa.binary())], ["doc_id", "body"])
 
-    return packed, route
+    return run
 
 
 def repeated_prints(signed: DataFrame) -> DataFrame:
@@ -104,6 +108,23 @@ def repeated_prints(signed: DataFrame) -> DataFrame:
     return built.groupBy("segment").applyInArrow(_merge, "print long, n long")
 
 
+def _mark(text_col: str):
+    return F.xxhash64(F.col(text_col).cast("binary"))
+
+
+def _groups(bare: DataFrame) -> DataFrame:
+    """bare: doc_id, text. The columns of exact_groups(), and mark, a hash of the text as it is."""
+    kind = dict(bare.dtypes)["doc_id"]
+    signed = cut(bare.withColumn("mark", _mark("text")).mapInArrow(_sign, f"doc_id {kind}, mark long, print long, text_sha256 string"))
+    bits, packed = _map(cut(repeated_prints(signed)))
+    sent = bare.mapInArrow(_route(bare.sparkSession.sparkContext.broadcast(packed), bits), f"doc_id {kind}, body binary")
+    classes = sent.groupBy("body").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select(F.sha2("body", 256).alias("sha"), "keep", "n")
+    classes = small(cut(classes))
+    found = signed.join(classes, signed.text_sha256 == classes.sha, "left")
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256", "mark")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -112,29 +133,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while its group has another id; a group of null ids has keep_id null and kept true. Rows that
     repeat an id and text count each and share their answer. An empty table gives no rows. Other columns are ignored.
     """
-    spark, bare = docs.sparkSession, pick(docs, doc_id=id_col, text=text_col)
-    kind = dict(bare.dtypes)["doc_id"]
-    signed = cut(bare.mapInArrow(_sign, f"doc_id {kind}, print long, text_sha256 string"))
-    twice = repeated_prints(signed)
-    at = F.shiftrightunsigned("print", 64 - ROUTE_BITS)
-    words = twice.select(at.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
-    packed, route = _routed({r.word: r.bits for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()})
-    sent = bare.mapInArrow(route(spark.sparkContext.broadcast(packed)), f"doc_id {kind}, body binary")
-    classes = sent.groupBy("body").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select(F.sha2("body", 256).alias("sha"), "keep", "n")
-    classes = small(cut(classes))
-    found = signed.join(classes, signed.text_sha256 == classes.sha, "left")
-    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
-    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
+    return _groups(pick(docs, doc_id=id_col, text=text_col)).drop("mark")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each group of equal texts.
 
-    Ids name rows here: a row goes if its id is that of a dropped row. Of whole repeats of the row that stays, one stays.
+    An id and its text name a row, so different texts under one id are told apart. Where the id that stays repeats with the same text (A-Z
+    lower-cased), or a group has null ids only, one of these rows stays, whichever. An empty table gives no rows.
     """
-    groups = exact_groups(docs, id_col, text_col)
-    groups = cut(groups.select("doc_id", "kept"))
-    gone = small(groups.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
-    left = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
-    again = groups.where("kept").groupBy("doc_id").count().where("count > 1")
-    return left.dropDuplicates([id_col]) if again.limit(1).count() else left
+    groups = cut(_groups(pick(docs, doc_id=id_col, text=text_col)).select("doc_id", "kept", "text_sha256", "mark"))
+    gone = small(groups.where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct())
+    left = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]) & (_mark(text_col) == gone["__mark"]), "left_anti")
+    again = groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    if not again.limit(1).count():
+        return left
+    plain = F.translate(F.coalesce(F.col(text_col), F.lit("")), ascii_uppercase, ascii_lowercase)
+    return left.withColumn("__text", F.sha2(plain.cast("binary"), 256)).dropDuplicates([id_col, "__text"]).drop("__text")
