@@ -1,6 +1,6 @@
 """Exact top-k search by tiled matrix products.
 
-Queries are handed out in blocks of bounded size. Each task holds a tile of its own shard of the
+Queries are handed out in blocks of bounded size, one block after the other; its lists are written before the next is handed out. Each task holds a tile of its own shard of the
 vectors at a time, multiplies it with tiles of the queries, selects the best of each query within
 the tile and folds them into its running list. The lists of the tasks meet in a merge tree, sixteen at a time.
 """
@@ -8,7 +8,6 @@ the tile and folds them into its running list. The lists of the tasks meet in a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import discard, scratch, stored
 
 QUERY_TILE, SHARD_TILE = 512, 4096
 #: Bytes of a block of queries as doubles; what is broadcast at once.
@@ -121,8 +120,10 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     mine = lambda df: df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     asked, shard = mine(queries), mine(vectors)
     held = asked.agg(F.sum(8 * F.size("embedding") + 16).alias("bytes")).first().bytes or 0
-    blocks, found = int(held // BLOCK_BYTES) + 1, []
-    parts = shard.rdd.getNumPartitions()
+    blocks, path = int(held // BLOCK_BYTES) + 1, scratch(spark, "lists")
+    fields = "query_id long, score long, vec_id long, part long"
+    asked, width = stored(asked, "queries"), shard.rdd.getNumPartitions()
+    spark.createDataFrame([], fields).write.parquet(path)
     for block in range(blocks):
         table = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()
         ids, by_length = table.column("vec_id").to_numpy(), {}
@@ -130,10 +131,11 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
             own, first = np.unique(ids[rows], return_index=True)
             by_length[n] = (own, scaled[first])
         if by_length:
-            found.append(shard.mapInArrow(_search(spark.sparkContext.broadcast(by_length), k), "query_id long, score long, vec_id long, part long"))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    lists, width = reduce(DataFrame.unionByName, found), parts
+            handed = spark.sparkContext.broadcast(by_length)
+            shard.mapInArrow(_search(handed, k), fields).write.mode("append").parquet(path)
+            handed.destroy()
+    discard(asked)
+    lists = spark.read.schema(fields).parquet(path)
     while width > FAN:
         lists = _top(lists.withColumn("part", F.expr(f"part div {FAN}")), ["query_id", "part"], k).drop("rank")
         width = -(-width // FAN)

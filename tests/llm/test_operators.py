@@ -140,3 +140,36 @@ def test_language_stage_without_labels(spark):
     assert sorted(r.doc_id for r in identified(docs, docs).collect()) == [1, 5]
     known = docs.unionByName(spark.createDataFrame([(6, "the dog", "a")], docs.schema))
     assert sorted(r.doc_id for r in identified(known, known).collect()) == [1, 5, 6]
+
+
+def test_exact_dedup_tells_texts_of_one_id_apart(spark):
+    rows = [(1, "a b"), (2, "A b"), (1, "c"), (1, "C"), (None, "c"), (None, "d"), (None, "D"), (3, None), (4, ""), (2, "a B")]
+    kept = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, lower(r.text)) for r in kept.collect()) == [(0, "d"), (1, "c"), (2, "a b"), (4, "")]
+    assert exact_dedup(kept.limit(0)).count() == 0
+
+
+def test_routing_map_of_any_size(spark, monkeypatch):
+    from scoreloom.llm import exact_dedup as module
+
+    docs = spark.createDataFrame([(i, f"text {i % 700}") for i in range(1000)], "doc_id long, text string")
+    for most, least in ((6, 6), (30, 22)):
+        monkeypatch.setattr(module, "ROUTE_MOST", most)
+        monkeypatch.setattr(module, "ROUTE_LEAST", least)
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_groups(docs).collect()) == [(i, i % 700 + 700 if i % 700 < 300 else i, 2 if i % 700 < 300 else 1) for i in range(1000)]
+
+
+def test_topk_in_blocks_by_length_and_through_the_merge_tree(spark, monkeypatch):
+    from scoreloom.llm import topk as module
+
+    monkeypatch.setattr(module, "BLOCK_BYTES", 400)
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([-1.0, 0.5, 0.125, 2.0]) for _ in range(3 + i % 2)]) for i in range(300)] + [(10, [1.0, 1.0, 1.0]), (None, [9.0, 9.0, 9.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(40)
+    found = {(r.query_id, r["rank"], r.vec_id, r.score) for r in exact_topk(vectors, vectors.where("vec_id % 25 = 0"), k=4).collect()}
+    expected = set()
+    for q, own in [x for x in rows if x[0] is not None and x[0] % 25 == 0]:
+        best = sorted((-int(sum(np.floor(256 * a) * np.floor(256 * b) for a, b in zip(own, v))), i) for i, v in rows if i is not None and i != q and len(v) == len(own))[:4]
+        expected |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert found == expected
+    assert exact_topk(vectors.limit(0), vectors.limit(0)).count() == 0
