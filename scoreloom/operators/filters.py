@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .autobin import BinSelector
+from .boosting import tree_filter
 from .report import is_numeric, stacked
 from .selection import filter_statistics
 
@@ -67,13 +68,14 @@ def corrected(p: Mapping[str, float], alpha: float, how: str = "fpr") -> list[st
 
 
 class PreSelector:
-    """Filters in a row: missing rate, modal share, variance, chi-square (text) or F under any of three fills (numbers), information value of frequency bins.
+    """Filters in a row: missing rate, modal share, variance, chi-square (text) or F under any of three fills (numbers), importance in boosted trees (off unless asked for), information value of frequency bins.
 
     A step whose limit is None is left out; what is in keep comes back. fit() sets kept and, by step, dropped.
     """
 
-    def __init__(self, na_pct: float | None = 0.99, unique_pct: float | None = 0.99, variance: float | None = 0.0, chif_pvalue: float | None = 0.05, iv_limit: float | None = 0.02, keep: Sequence[str] = (), correction: str = "fpr"):
+    def __init__(self, na_pct: float | None = 0.99, unique_pct: float | None = 0.99, variance: float | None = 0.0, chif_pvalue: float | None = 0.05, iv_limit: float | None = 0.02, keep: Sequence[str] = (), correction: str = "fpr", tree_importance: float | None = None, trees: Mapping | None = None):
         self.na_pct, self.unique_pct, self.variance, self.chif, self.iv_limit, self.keep, self.correction = na_pct, unique_pct, variance, chif_pvalue, iv_limit, list(keep), correction
+        self.tree_importance, self.trees = tree_importance, dict(trees or {"maxIter": 100})
         self.kept: list[str] | None = None
 
     def fit(self, df: DataFrame, target: str, names: Sequence[str] | None = None) -> PreSelector:
@@ -102,6 +104,8 @@ class PreSelector:
             if text := [n for n in left if not is_numeric(df, n)]:
                 good |= set(corrected({r.variable: _tail(df, "ChiSquaredDistribution", r.chi2, r.dof) for r in chi2_statistics(df, target, text).collect()}, self.chif, self.correction))
             stay("chi2 or F", good)
+        if self.tree_importance is not None and left:
+            stay("trees", set(tree_filter(df, target, left, self.tree_importance, params=self.trees)))
         if self.iv_limit is not None and left:
             stay("iv", set(BinSelector("freq", bin_num_limit=30, iv_limit=self.iv_limit, levels=1000).fit(df, target, left).kept))
         self.kept = [n for n in every if n in left or n in self.keep]

@@ -13,25 +13,30 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import dealt
+
 #: Cells that are fetched to the driver at most: rows of some doubles.
 CELLS = 50_000
 
 
-def _cells(df: DataFrame, names: Sequence[str], target: str, weight: str | None, fold: str | None = None) -> DataFrame:
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    kept = df.select(*(F.col(n).cast("double").alias(f"x{k}") for k, n in enumerate(names)), w.alias("w"), (w * F.col(target).cast("double")).alias("wy"), *([F.col(fold).alias("fold")] if fold else [])).dropna()
-    return kept.groupBy(*(f"x{k}" for k in range(len(names))), *(["fold"] if fold else [])).agg(F.sum("w").alias("n"), F.sum("wy").alias("bad"))
+def _cells(df: DataFrame, names: Sequence[str], target: str, weight: str | None, folds: int = 0, seed: int = 0) -> DataFrame:
+    """n and bad by distinct row of the names, and by fold if folds are asked for."""
+    w, keys = F.col(weight).cast("double") if weight else F.lit(1.0), [f"x{k}" for k in range(len(names))]
+    kept = df.select(*(F.col(n).cast("double").alias(k) for n, k in zip(names, keys)), w.alias("w"), F.col(target).cast("double").alias("y")).dropna()
+    if folds:
+        kept = dealt(kept, [*keys, "y"], folds, seed, "w").select(*keys, "y", F.col("__weight").alias("w"), F.col("__fold").alias("fold"))
+    return kept.groupBy(*keys, *(["fold"] if folds else [])).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("bad"))
 
 
 class Cells:
     """The cells of the named features, fetched if few."""
 
-    def __init__(self, df: DataFrame, names: Sequence[str], target: str, weight: str | None = None, fold: str | None = None, most: int = CELLS):
-        self.names, self.df = list(names), _cells(df, names, target, weight, fold).persist()
+    def __init__(self, df: DataFrame, names: Sequence[str], target: str, weight: str | None = None, folds: int = 0, seed: int = 0, most: int = CELLS):
+        self.names, self.df = list(names), _cells(df, names, target, weight, folds, seed).persist()
         self.rows = None
         if self.df.limit(most + 1).count() <= most:
             p = self.df.toPandas()
-            self.rows = p[[f"x{k}" for k in range(len(names))]].to_numpy(float), p["n"].to_numpy(float), p["bad"].to_numpy(float), p["fold"].to_numpy() if fold else None
+            self.rows = p[[f"x{k}" for k in range(len(names))]].to_numpy(float), p["n"].to_numpy(float), p["bad"].to_numpy(float), p["fold"].to_numpy() if folds else None
             self.df.unpersist()
 
     def close(self) -> None:
@@ -172,7 +177,7 @@ def l1_fit(x: np.ndarray, n: np.ndarray, bad: np.ndarray, c: float, start: np.nd
 
 class LassoLogit:
     """An L1 path over l1_min_c * logspace(0, 7, c_num) with cross-validation; keeps the features of the strongest penalty within one standard
-    error of the best (1se), or of the best itself. Folds come from a hash of the rows' own values."""
+    error of the best (1se), or of the best itself. Equal rows are dealt round the folds, beginning at a hash of their values."""
 
     def __init__(self, c_num: int = 20, method: str = "1se", metric: str = "neglogloss", cv: int = 5, seed: int = 123, standard: bool = True):
         if method not in ("1se", "best") or metric not in ("neglogloss", "auc"):
@@ -180,8 +185,7 @@ class LassoLogit:
         self.c_num, self.method, self.metric, self.cv, self.seed, self.standard = c_num, method, metric, cv, seed, standard
 
     def fit(self, df: DataFrame, names: Sequence[str], target: str, weight: str | None = None) -> LassoLogit:
-        folded = df.withColumn("__fold", F.pmod(F.xxhash64(*df.columns, F.lit(self.seed)), F.lit(self.cv)).cast("int"))
-        cells = Cells(folded, names, target, weight, "__fold")
+        cells = Cells(df, names, target, weight, self.cv, self.seed)
         if cells.rows is None:
             cells.close()
             raise ValueError(f"more than {CELLS} distinct rows: encode the features by bins first")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import focal_gradient, focal_loss, scaled_score
 from ..operators.autobin import BinSelector
+from ..operators.boosting import ParameterSearch, TreeModel, permutation_importance, sequential_selection
 from ..operators.cleaning import allocated, replaced, standardised
 from ..operators.clustering import VariableClusters
 from ..operators.encode import BinEncoder, CardScorer, WoeEncoder
@@ -98,6 +99,33 @@ def _clusters(spark, sf_dir):
     return rounded(spark.createDataFrame([(n, c, float(found.ratios[n]), n in found.kept) for n, c in found.labels.items()], "variable string, cluster int, ratio double, kept boolean"))
 
 
+def _tree_frame(spark, sf_dir):
+    return holes(spark, sf_dir).select("x", "s", "w", "y")
+
+
+def _importances(spark, sf_dir):
+    found = TreeModel(params={"maxIter": 5, "maxDepth": 3}).fit(_tree_frame(spark, sf_dir), "y").importances
+    return rounded(spark.createDataFrame(list(found.items()), "variable string, importance double"))
+
+
+def _permuted(spark, sf_dir):
+    t = _tree_frame(spark, sf_dir)
+    return rounded(permutation_importance(TreeModel(params={"maxIter": 5, "maxDepth": 3}).fit(t, "y"), t, "y", 3))
+
+
+def _sequence(spark, sf_dir):
+    path = sequential_selection(_tree_frame(spark, sf_dir), "y", k=2, folds=2, params={"maxIter": 2, "maxDepth": 2})
+    return rounded(spark.createDataFrame([(len(names), ",".join(names), auc) for names, auc in path], "size int, names string, auc double"))
+
+
+def _search(how):
+    def run(spark, sf_dir):
+        found = ParameterSearch({"maxDepth": [1, 2, 4], "stepSize": [0.1, 0.3]}, how, 5, fixed={"maxIter": 2}, folds=2).fit(_tree_frame(spark, sf_dir), "y")
+        return rounded(spark.createDataFrame([(k, c["maxDepth"], c["stepSize"], share, auc, c == found.best) for k, (c, share, auc) in enumerate(found.trials)], "trial int, max_depth int, step_size double, share double, auc double, best boolean"))
+
+    return run
+
+
 QUERIES = {
     "woe_table_special_missing": lambda s, d: rounded(_table(s, d)),
     "woe_table_weighted": lambda s, d: rounded(_table(s, d, weight="w")),
@@ -138,6 +166,12 @@ QUERIES = {
     "lasso_logit": _lasso,
     "preselected": _preselect,
     "variable_clusters": _clusters,
+    "tree_importances": _importances,
+    "permutation_importance": _permuted,
+    "sequential_selection": _sequence,
+    "parameter_grid": _search("grid"),
+    "parameter_tpe": _search("tpe"),
+    "parameter_halving": _search("halving"),
     "scorecard_fitted": lambda s, d: scorecard(items(s, d), "y", BREAKS)[1].groupBy("score").agg(F.count("*").alias("n")),
 }
 

@@ -8,9 +8,11 @@ from pyspark.errors import PySparkException
 
 from scoreloom.operators import validate
 from scoreloom.operators.autobin import BinSelector, clusters, kmeans_cuts, merged, monotone_cuts, pruned_cuts, tree_cuts
+from scoreloom.operators.boosting import ParameterSearch, TreeModel, cross_validated, permutation_importance, sequential_selection, tree_filter
 from scoreloom.operators.clustering import VariableClusters, least_clusters, linkage
 from scoreloom.operators.cleaning import Outliers, allocated, replaced
 from scoreloom.operators.encode import BinEncoder, CardScorer, WoeEncoder
+from scoreloom.operators.folds import dealt
 from scoreloom.operators.filters import PreSelector, corrected
 from scoreloom.operators.regression import Cells, Fit, LassoLogit, StepLogit, l1_fit
 from scoreloom.operators.report import missing_profile, variable_report
@@ -146,3 +148,56 @@ def test_checks_casts_and_sinks(spark, tmp_path):
     assert validate.breaks({"y": [2, 1.00004, 1.0]}, ["y"]) == {"y": [1.0, 2.0]}
     out = write_report({"one": df}, f"file://{tmp_path}")
     assert spark.read.option("header", True).csv(out[0]).count() == 2
+
+
+def test_trees_and_searches(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1200):
+        a, noise = float(rng.normal()), float(rng.normal())
+        s = "pqr"[rng.integers(3)]
+        z = 2 * a + (2.0 if s == "q" else -1.0)
+        rows.append((None if i % 50 == 0 else a, noise, None if i % 70 == 0 else s, int(rng.random() < 1 / (1 + math.exp(-z)))))
+    df = spark.createDataFrame(rows, "a double, noise double, s string, y int").cache()
+    small = {"maxIter": 5, "maxDepth": 3}
+    model = TreeModel(params=small).fit(df, "y")
+    assert model.importances["a"] > model.importances["noise"] and model.importances["s"] > model.importances["noise"]
+    scored = model.transform(df, "score").collect()
+    assert len(scored) == len(rows) and all(0 <= r.probability <= 1 and r.score is not None for r in scored)
+    assert model.transform(spark.createDataFrame([(None, None, "new", 0)], df.schema)).count() == 1
+    assert set(tree_filter(df, "y", least=0.1, kind="rf", params={"numTrees": 5})) >= {"a"}
+    rise = {r.variable: r.importance for r in permutation_importance(model, df, "y", 3).collect()}
+    assert rise["a"] > 0.05 > abs(rise["noise"]) and rise["s"] > 0.05
+    path = sequential_selection(df, "y", k=2, folds=2, params={"maxIter": 2, "maxDepth": 2})
+    assert path[-1][0] == ("a", "s") and path[0][1] < path[1][1]
+    with pytest.raises(ValueError):
+        TreeModel(levels=2).fit(df, "y")
+    with pytest.raises(RuntimeError):
+        TreeModel().transform(df)
+    for how, tried in (("grid", 2), ("halving", 2), ("random", 2)):
+        found = ParameterSearch({"maxDepth": [1, 4]}, how, 2, 2, fixed={"maxIter": 2}, folds=2).fit(df, "y", ["a", "s"])
+        assert len(found.trials) == tried and found.best == {"maxDepth": 4}
+
+
+def test_suggestions_follow_the_best_trials():
+    search = ParameterSearch({"a": [1, 2, 3], "b": [1, 2]}, "tpe")
+    search.trials = [({"a": 3, "b": 1}, 1.0, 0.9), ({"a": 1, "b": 1}, 1.0, 0.5), ({"a": 2, "b": 2}, 1.0, 0.4), ({"a": 1, "b": 2}, 1.0, 0.3)]
+    assert search.suggested(np.random.default_rng(1), [{"a": 2, "b": 1}, {"a": 3, "b": 2}, {"a": 1, "b": 1}])["a"] == 3
+
+
+def test_folds_deal_equal_rows_round(spark):
+    """Few distinct rows: had a row's own values told its fold, a fold's labels would be the reverse of what the others teach."""
+    rows = [(float(i % 3), "uv"[i % 2], int((i * 7919) % 100 < 20 + 25 * (i % 3)), 0.5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, s string, y int, w double")
+    parts = dealt(df, ["a", "s", "y"], 4, weight="w").collect()
+    sums = {}
+    for r in parts:
+        sums.setdefault((r.a, r.s, r.y), []).append(r["__weight"])
+    for key, found in sums.items():
+        n = sum(x[:3] == key for x in rows)
+        assert abs(sum(found) - n / 2) < 1e-9 and max(found) - min(found) <= 0.5 and len(found) == 4
+    less = sum(r["__weight"] for r in dealt(df, ["a", "s", "y"], 4, share=0.25).collect())
+    assert abs(less - 750) <= 12
+    lasso = LassoLogit(c_num=6, cv=3, metric="auc").fit(df.select("a", "y"), ["a"], "y")
+    assert lasso.scores[-1].min() > 0.6
+    assert min(cross_validated(df, "y", ["a", "s"], 3, params={"maxIter": 2})) > 0.6
