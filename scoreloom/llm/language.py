@@ -25,10 +25,11 @@ LEARN_DOCS = 6000
 #: N-grams that a language's model keeps, at most; the most frequent.
 GRAMS = 30_000
 LETTERS = regex.compile(r"\p{L}+")
-#: A long run of letters is read in pieces of so many.
+#: A long run of letters is read in pieces of so many, each as a word; all letters count, but the model starts anew at each piece.
 PIECE = 40
 START, END = "\x02", "\x03"
-STEPS, CLOSE = 12, 1e-3
+#: Expectation-maximisation ends when no share moves by more than CLOSE; STEPS only guards against rounding that never settles.
+STEPS, CLOSE = 10_000, 1e-3
 CHARS = 1 << 19
 UNKNOWN = "und"
 
@@ -222,7 +223,8 @@ def _predictions(model: Model, batch: list[str]) -> tuple[list[str], list[float]
 def languages(docs: DataFrame, train: DataFrame, learn_docs: int = LEARN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score (its share of the words), mixture (language: share).
 
-    train: doc_id, text, lang. A text that is null or has no letter is `und` with score 0 and no mixture, and so are all texts if
+    train: doc_id, text, lang; about learn_docs documents of a language are learnt from, drawn by a hash of their id, and its GRAMS most frequent
+    n-grams kept, which bounds the model. Whole texts are learnt from and predicted. A text that is null or has no letter is `und` with score 0 and no mixture, and so are all texts if
     nothing is learnt. Equal shares go to the first language in order. Ids may be null or repeat. An empty table gives no rows; other columns are ignored.
     """
     bare = pick(docs, doc_id=id_col, text=text_col)
