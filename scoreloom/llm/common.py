@@ -90,6 +90,18 @@ def small_batches(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside has the shuffle files of each query deleted once the query is over, instead of when the driver collects its garbage. Nothing inside may count on reading them twice."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: What drops the models that operators keep from task to task in a Python worker.
 KEPT: list[Callable[[], None]] = []
 

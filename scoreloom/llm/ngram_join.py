@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, discard, give_back, pick, small_batches, stored
+from .common import BROADCAST_ROWS, cut, discard, give_back, pick, shuffles_freed, small_batches, stored
 from .shingling import WORDS, shingle_sets
 
 #: Similarity from which sets link, in hundredths.
@@ -309,7 +309,7 @@ def _levels(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
 
 def _groups(docs: DataFrame, words: int, least: int) -> DataFrame:
     """doc_id, mark, n, component_id; docs: doc_id, text, mark."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), shuffles_freed(docs.sparkSession):
         return _found(docs, words, least)
 
 
