@@ -1,6 +1,7 @@
 """BPE encoding and decoding by batched merge rounds.
 
-The words of a batch that are not in the cache yet lie as one flat array of symbols. In each round
+The letters of a batch are split into words by the kinds of neighbours, and each different word is looked
+up once. The words that are not in the cache yet lie as one flat array of symbols. In each round
 the rank of every neighbouring pair is found by binary search over the sorted pair keys, the lowest
 rank of each word is taken, and all its places in the word merge at once, from the left.
 """
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame
 
 from .common import KEPT, pick, texts
 
-#: Words and chunks whose ids a task remembers; then it starts anew.
+#: Words whose ids a task remembers; then it starts anew from those in use.
 CACHE_WORDS = 300_000
 #: Characters of new words that merge together.
 ROUND_CHARS = 1 << 18
 #: Unicode white space.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
-#: What Python splits at and the tokenizer does not.
-NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: Kinds of code points; all others may stand together in a word.
+BLANK, LETTER, NUMBER = 1, 2, 3
 NONE = np.iinfo(np.int32).max
 
 
@@ -53,6 +54,17 @@ def _unassigned() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    points = "".join(map(chr, range(sys.maxunicode + 1)))
+    out = np.zeros(len(points), np.int8)
+    for kind, letters in ((BLANK, f"[{SPACE}]+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for found in regex.finditer(letters, points):
+            out[found.start() : found.end()] = kind
+    return out
+
+
 class WordBpe:
     """The vocabulary of a tokenizer file whose words end in a suffix."""
 
@@ -75,64 +87,101 @@ class WordBpe:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.gap = regex.compile(f"[{SPACE}]+")
-        self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+")
+        self.blank = regex.compile(f"[{SPACE}]")
         self.kind = np.dtype("<u2") if len(self.tokens) <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.path, self.other = path, None
 
-    def chunks(self, text: str) -> list:
-        """What white space separates, lower-cased. A special token is the tuple of its id; the tuple of a string is a word that isn't split further."""
+    def _parts(self, text: str) -> list[str | bytes]:
+        """Normalised text that is still to be split, between the packed ids of special tokens and of words that were split otherwise."""
         if self.special and "<|" in text:
-            out: list = []
+            out: list[str | bytes] = []
             for k, part in enumerate(self.special.split(text)):
-                out += [(self.added[part],)] if k % 2 else self._plain(part)
+                out.append(np.array(self.added[part], self.kind).tobytes() if k % 2 else self._plain(part))
             return out
-        return self._plain(text)
+        return [self._plain(text)]
 
-    def _plain(self, text: str) -> list[str]:
+    def _plain(self, text: str) -> str | bytes:
+        if text.isascii():
+            return text.lower()
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             if _unassigned().search(text):
                 return self._newer(text)
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each letter by itself: no final sigma
-        if any(x in text for x in NOT_SPACE):
-            return self.gap.split(text)
-        return text.split()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each letter by itself: no final sigma
 
-    def _newer(self, text: str) -> list[tuple[str]]:
-        """The words where letters are newer than this Python: split with the library's own tables; the merges stay ours."""
+    def _newer(self, text: str) -> bytes:
+        """The ids where letters are newer than this Python: split with the library's own tables; the merges stay ours."""
         if self.other is None:
             from tokenizers import Tokenizer
 
             self.other = Tokenizer.from_file(self.path)
         byte = {x: b for b, x in enumerate(_byte_letters())}
         split = self.other.pre_tokenizer.pre_tokenize_str(self.other.normalizer.normalize_str(text))
-        return [(bytes(byte[x] for x in word).decode("utf-8"),) for word, _ in split]
-
-    def learn(self, chunks: set) -> None:
-        """Put the ids of these new chunks, and of the words in them, into the cache."""
-        known, parts = self.known, {}
-        for c in chunks:
-            if isinstance(c, str):
-                parts[c] = (c,) if c.isalpha() else self.word.findall(c)
-            elif isinstance(c[0], str):
-                parts[c] = c
+        words = [bytes(byte[x] for x in word) for word, _ in split]
+        different = list(set(words))
+        ids = dict(zip(different, self._looked_up(different)))
+        return b"".join([ids[w] for w in words])
+
+    def _split(self, raw: bytes) -> np.ndarray:
+        """Where the words and the runs of white space of these letters begin, and their end. A word is what `'s 't 're 've 'm 'll 'd`, a run of letters, one number or a run of others is."""
+        data, kinds = np.frombuffer(raw, np.uint8), _kinds()
+        kind = kinds[data]
+        if raw.isascii():
+            begins = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER))
+        else:
+            points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), "<u4")
+            points = points[points >= 0x80]
+            kind[data >= 0x80] = np.repeat(kinds[points], 2 + (points >= 0x800).astype(np.int8) + (points >= 0x10000))
+            begins = np.append(True, ((kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)) & (data[1:] & 0xC0 != 0x80))
+        mark = np.flatnonzero(data == ord("'"))
+        mark = mark[begins[mark]]
+        for ending in (b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d"):
+            at = mark[mark <= len(data) - len(ending)]
+            for k in range(1, len(ending)):
+                at = at[data[at + k] == ending[k]]
+            begins[at + 1] = False
+            begins[at[at < len(data) - len(ending)] + len(ending)] = True
+        return np.append(np.flatnonzero(begins), len(data))
+
+    def _looked_up(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each of these different words. White space has none."""
+        known = self.known
+        found = list(map(known.get, words))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            new = [words[i] for i in gaps]
+            portion = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))) // ROUND_CHARS
+            stops = [0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), len(new)]
+            for a, b in zip(stops[:-1], stops[1:]):
+                for i, w, ids in zip(gaps[a:b], new[a:b], self._merged(new[a:b])):
+                    found[i] = b"" if w[:1].isspace() or w[0] >= 0x80 and self.blank.match(w.decode("utf-8")) else ids
+            if len(known) + len(new) > CACHE_WORDS:  # those in use stay
+                known.clear()
+                known.update(zip(words, found))
             else:
-                known[c] = np.array(c, self.kind).tobytes()
-        new = list({w for words in parts.values() for w in words if w not in known})
-        some: list[bytes] = []
-        start = held = 0
-        for k, w in enumerate(new):
-            some.append(w.encode("utf-8"))
-            held += len(some[-1])
-            if held >= ROUND_CHARS or k == len(new) - 1:
-                known.update(zip(new[start : k + 1], self._merged(some)))
-                some, start, held = [], k + 1, 0
-        for c, words in parts.items():
-            if c not in known:
-                known[c] = b"".join([known[w] for w in words])
+                known.update((words[i], found[i]) for i in gaps)
+        return found
+
+    def _packed(self, some: list[str]) -> Iterator[bytes]:
+        """The packed ids of each of these normalised texts. Each different word is looked up once."""
+        raws = [x.encode("utf-8") for x in some]
+        raw = b"\n".join(raws)
+        if not raw:
+            yield from raws
+            return
+        starts = self._split(raw)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(raw)]).dictionary_encode()
+        ids = self._looked_up(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        taken = pa.array(ids, pa.large_binary()).take(words.indices)
+        _, places, letters = taken.buffers()
+        places, letters = np.frombuffer(places, np.int64)[: len(taken) + 1], memoryview(letters or b"")
+        begin = np.cumsum([0, *(len(x) + 1 for x in raws[:-1])])
+        # A text may begin inside white space, which has no ids.
+        at = [*places[np.searchsorted(starts, begin, "right") - 1].tolist(), int(places[-1])]
+        for a, b in zip(at[:-1], at[1:]):
+            yield bytes(letters[a:b])
 
     def _merged(self, words: list[bytes]) -> list[bytes]:
         length = np.fromiter(map(len, words), np.int64, len(words))
@@ -184,7 +233,7 @@ class WordBpe:
         found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         rank[at] = np.where((self.keys[found] == key) & (of[at] == of[at + 1]), self.ranks[found], NONE)
 
-    def encode(self, batch: list[str], chars: int = 1 << 18) -> Iterator[bytes]:
+    def encode(self, batch: list[str], chars: int = 1 << 19) -> Iterator[bytes]:
         """The ids of each text, packed in self.kind. The new words of many texts are merged together."""
         at = 0
         while at < len(batch):
@@ -192,14 +241,10 @@ class WordBpe:
             while at < len(batch) and held < chars:
                 held += len(batch[at])
                 at += 1
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            split = [self.chunks(x) for x in batch[some:at]]
-            known = self.known
-            if new := {c for chunks in split for c in chunks if c not in known}:
-                self.learn(new)
-            for chunks in split:
-                yield b"".join([known[c] for c in chunks])
+            split = [self._parts(x) for x in batch[some:at]]
+            packed = self._packed([x for parts in split for x in parts if isinstance(x, str)])
+            for parts in split:
+                yield b"".join([next(packed) if isinstance(x, str) else x for x in parts])
 
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.kind)

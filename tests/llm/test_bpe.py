@@ -57,3 +57,21 @@ def test_rows(spark):
     back = {r.text for r in decode(encode(docs, PATH), PATH).collect()}
     assert "hello</w> ,</w> world</w>" in back and "" in back
     assert encode_digests(docs.where("false"), PATH).count() == 0
+
+
+def test_the_cache_holds_each_word_once_whatever_stands_beside_it():
+    model, marks = WordBpe(PATH), [".", ",", "!", "?", ";", ")", "(", "..", "--", "7"]
+    batch = [f"{mark}word{'x' * k}{mark} " for k in range(50) for mark in marks]
+    list(model.encode(batch, 100))
+    assert len(model.known) <= 50 + len(marks) + 2  # and a space, and a space before the next text
+
+
+@pytest.mark.parametrize("chars", [5, 300, 1 << 19])
+def test_splits_as_the_library_does(chars):
+    """Endings after an apostrophe, numbers, mixed white space and letters of all widths, also where a text begins or ends."""
+    rng = random.Random(7)
+    letters = [*"''strevmld 1!\n", "é", "²", "’", "ſ", "\xa0", "\x85", " ", "\x1c", "日", "😀", "İ", "Σ", "́", "<|endoftext|>", "LL"]
+    batch = ["".join(rng.choice(letters[: rng.choice([14, 28])]) for _ in range(rng.randrange(14))) for _ in range(5000)]
+    model, other = WordBpe(PATH), tokenizers.Tokenizer.from_file(PATH)
+    got = [model.ids(x).tolist() for x in model.encode(batch, chars)]
+    assert got == [x.ids for x in other.encode_batch(batch, add_special_tokens=False)]
