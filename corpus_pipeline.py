@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm.common import stored
+from scoreloom.llm.common import heaps_returned, stored
 from scoreloom.llm.exact_dedup import exact_dedup
 from scoreloom.llm.language import identified
 from scoreloom.llm.ngram_join import near_dedup
@@ -18,11 +18,12 @@ BATCH_ROWS = 2048
 
 
 def _narrow(spark: SparkSession) -> None:
-    """Bounds the session's batches, and leaves it so: what a stage returns is computed after the stage has returned."""
+    """Bounds the session's batches, and leaves it so: what a stage returns is computed after the stage has returned. Heap that the stage before has left is handed back."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if not 0 < now <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    heaps_returned(spark)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,6 +102,15 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def heaps_returned(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, so that heap which earlier steps have left goes back to the system and Python may have it.
+
+    A task on each core reaches all executors of an idle cluster; one that is missed only keeps its heap.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 #: What drops the models that operators keep from task to task in a Python worker.
 KEPT: list[Callable[[], None]] = []
 

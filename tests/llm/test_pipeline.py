@@ -48,3 +48,18 @@ def test_empty_corpus(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_begin_with_heaps_handed_back(spark, monkeypatch):
+    def full_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs, seen = spark.read.parquet(f"{DATA}/documents.parquet"), []
+    for operator in ("clean", "identified", "exact_dedup", "near_dedup", "pack"):
+        monkeypatch.setattr(corpus_pipeline, operator, lambda *_: seen.append(full_collections()))
+    for _, stage in corpus_pipeline.STAGES:
+        before = full_collections()
+        stage(spark, docs, DATA)
+        assert seen[-1] > before
+    assert len(seen) == len(corpus_pipeline.STAGES)
