@@ -20,9 +20,10 @@ def filter_statistics(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return counts.groupBy("variable").agg((F.sum(F.when(absent(df, names), F.col("n")).otherwise(0.0)) / total).alias("missing_rate"), (F.max("n") / total).alias("modal_share"), F.count("value").alias("levels"))
 
 
-def by_information_value(df: DataFrame, target: str, breaks: Mapping[str, Sequence], least: float = 0.02) -> DataFrame:
-    """variable, total_iv of the variables above the limit."""
-    return variable_report(df, target, breaks).groupBy("variable").agg(F.max("total_iv").alias("total_iv")).where(F.col("total_iv") > least)
+def by_information_value(df: DataFrame, target: str, breaks: Mapping[str, Sequence], least: float = 0.02, places: int | None = None) -> DataFrame:
+    """variable, total_iv of the variables above the limit; with places, values are rounded before they are compared."""
+    worth = F.col("total_iv") if places is None else F.round("total_iv", places)
+    return variable_report(df, target, breaks).groupBy("variable").agg(F.max(worth).alias("total_iv")).where(F.col("total_iv") > least)
 
 
 def points(pdo: float = 75.0, base: float = 660.0, ratio: float = 1 / 15) -> tuple[float, float]:
