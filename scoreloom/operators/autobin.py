@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binning import JOINED, merged_by_chi2, missing, pretty
+from .quantiles import percentiles
 from .report import _cells, is_numeric, variable_report
 
 TINY = 1e-10
@@ -125,12 +126,12 @@ def trimmed_ranges(df: DataFrame, names: Sequence[str], special: Mapping[str, Se
     """Least, greatest and number of values of each column without outliers (as Outliers has them; all values if one would be left)."""
     special = special or {}
     value = lambda n: F.when(~missing(F.col(n), True) & ~F.col(n).isin(list(special.get(n, ()))), F.col(n).cast("double"))
-    at = F.array(*map(F.lit, (0.01, 0.25, 0.75, 0.99)))
-    first = df.agg(*(F.struct(F.percentile(value(n), at).alias("p"), F.min(value(n)).alias("lo"), F.max(value(n)).alias("hi")).alias(n) for n in names)).first()
+    points = percentiles(df, {n: value(n) for n in names}, dict.fromkeys(names, (0.01, 0.25, 0.75, 0.99)))
+    first = df.agg(*(F.struct(F.min(value(n)).alias("lo"), F.max(value(n)).alias("hi")).alias(n) for n in names)).first()
     bounds = {}
     for n in names:
-        if first[n].p:
-            p1, q1, q3, p99 = first[n].p
+        if points[n]:
+            p1, q1, q3, p99 = points[n]
             bounds[n] = (q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)) if q3 > q1 else (p1, p99)
     inside = lambda n: F.when(value(n).between(*map(float, bounds[n])), value(n))
     second = df.agg(*(F.struct(F.min(inside(n)).alias("lo"), F.max(inside(n)).alias("hi"), F.approx_count_distinct(inside(n)).alias("n")).alias(n) for n in bounds)).first() if bounds else {}
@@ -183,7 +184,8 @@ class BinSelector:
         if self.method.startswith("freq"):
             value = lambda n: F.when(~missing(F.col(n), True) & ~F.col(n).isin(list(self.special.get(n, ()))), F.col(n).cast("double"))
             bins = {n: max(1, min(self.limit if self.method == "freq" else self.max_bin, ranges[n][2])) for n in ranges}
-            row = df.agg(*(F.percentile(value(n), F.array(*(F.lit(k / bins[n]) for k in range(1, bins[n])))).alias(n) for n in ranges if bins[n] > 1)).first() if any(b > 1 for b in bins.values()) else {}
+            some = [n for n in ranges if bins[n] > 1]
+            row = percentiles(df, {n: value(n) for n in some}, {n: [k / bins[n] for k in range(1, bins[n])] for n in some})
             found = {n: sorted({round(x, 3) for x in row[n]}) if bins[n] > 1 else [] for n in ranges}
         else:
             found = {n: [b for b in (round(x, 3) for x in pretty(lo, hi, min(self.max_bin, count))) if lo < b <= hi] for n, (lo, hi, count) in ranges.items()}

@@ -1,4 +1,4 @@
-"""Cleaning: statistics are fitted in one aggregate and applied as column expressions."""
+"""Cleaning: statistics are fitted in aggregates and applied as column expressions."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .binning import number
+from .quantiles import percentiles
 from .validate import fitted
 
 
@@ -64,8 +66,7 @@ class Outliers:
         self.columns, self.method, self.bounds = list(columns), method, None
 
     def fit(self, df: DataFrame) -> Outliers:
-        at = F.array(*map(F.lit, (0.01, 0.25, 0.75, 0.99)))
-        row = df.agg(*(F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), at).alias(c) for c in self.columns)).first()
+        row = percentiles(df, {c: number(c) for c in self.columns}, dict.fromkeys(self.columns, (0.01, 0.25, 0.75, 0.99)))
         self.bounds = {}
         for c in self.columns:
             if row[c]:
@@ -93,9 +94,10 @@ class Missing:
 
     def fit(self, df: DataFrame) -> Missing:
         def one(c: str, text: bool) -> Column:
-            x = F.col(c) if text else F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-            return {"constant": F.lit(self.constant[text]), "mean": F.avg(x) if not text else None, "median": F.percentile(x, 0.5) if not text else None, "most_frequent": F.mode(x, True)}[self.method[text]]
+            x = F.col(c) if text else number(c)
+            return {"constant": F.lit(self.constant[text]), "mean": F.avg(x) if not text else None, "median": F.lit(medians[c][0] if medians.get(c) else None).cast("double") if not text else None, "most_frequent": F.mode(x, True)}[self.method[text]]
 
+        medians = percentiles(df, {c: number(c) for c in self.numeric}, dict.fromkeys(self.numeric, [0.5])) if self.method[0] == "median" else {}
         columns = [(c, False) for c in self.numeric] + [(c, True) for c in self.strings]
         row = df.agg(*(one(c, t).alias(f"v{k}") for k, (c, t) in enumerate(columns)), *(F.count_if(self._gone(c, t)).alias(f"n{k}") for k, (c, t) in enumerate(columns))).first()
         self.fill = {c: row[f"v{k}"] for k, (c, _) in enumerate(columns)}

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .autobin import BinSelector
+from .binning import number
 from .boosting import tree_filter
+from .quantiles import percentiles
 from .report import is_numeric, stacked
 from .selection import filter_statistics
 
@@ -26,9 +28,11 @@ def f_statistics(df: DataFrame, target: str, names: Sequence[str], fill: str | N
     """
     data = df.where(F.col(target).isNotNull())
     if fill:
-        how = {"max": lambda c: F.max(c) + 1, "min": lambda c: F.min(c) - 1, "median": lambda c: F.percentile(c, 0.5)}[fill]
-        number = lambda n: F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double"))
-        row = data.agg(*(how(number(n)).alias(n) for n in names)).first()
+        if fill == "median":
+            row = {n: p[0] if p else None for n, p in percentiles(data, {n: number(n) for n in names}, dict.fromkeys(names, [0.5])).items()}
+        else:
+            how = {"max": lambda c: F.max(c) + 1, "min": lambda c: F.min(c) - 1}[fill]
+            row = data.agg(*(how(number(n)).alias(n) for n in names)).first()
         data = data.withColumns({n: F.coalesce(number(n), F.lit(row[n]).cast("double")) for n in names})
     long = stacked(data, names, "double", target).where("value IS NOT NULL AND NOT isnan(value)")
     parts = long.groupBy("variable", target).agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
